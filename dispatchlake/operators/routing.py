@@ -141,6 +141,10 @@ def assign_lane(
     return rank.withColumn("send_lane", F.try_mod(F.col("_turn"), width)).drop("_turn")
 
 
+def dispatch_feed(channel: str = "channel") -> Column:
+    """Name of the dispatch feed of a channel."""
+    return F.concat(F.lit(DISPATCH_FEED + "."), F.lower(channel))
+
+
 def with_dispatch_feed(df: DataFrame, channel: str = "channel") -> DataFrame:
-    """Add `topic`, the dispatch feed of the channel."""
-    return df.withColumn("topic", F.concat(F.lit(DISPATCH_FEED + "."), F.lower(F.col(channel))))
+    return df.withColumn("topic", dispatch_feed(channel))

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.codes import ADAPTER_VERSION
-from dispatchlake.functions import status
-from dispatchlake.functions.text import is_email
 from dispatchlake.session import configure
 
 BURST_US = 600 * 1_000_000
@@ -23,177 +21,140 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _digits(value: Column, width: int) -> Column:
-    return F.lpad(value.cast("string"), width, "0")
-
-
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eid = F.col("event_id")
-    user = F.col("user_id")
-    lane = F.col("ci")
-    df = events(spark, sf_dir).select(
-        "event_id",
-        "user_id",
-        "ts",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        (F.floor(eid / 5).cast("bigint") % 5).alias("ci"),
-    )
-    method = F.when(eid % 101 == 100, "09").otherwise(
-        F.concat(F.lit("0"), (1 + eid % 5).cast("string"))
-    )
-    tail = F.when(eid % 97 == 96, _digits(eid, 11)).otherwise(_digits(eid, 14))
-    mail = F.concat(
-        F.lit("user"),
-        user.cast("string"),
-        F.when(eid % 41 == 40, "").otherwise("@example.com"),
-    )
-    phone = F.concat(F.when(eid % 43 == 42, "02").otherwise("010"), _digits(user, 8))
-    return df.select(
-        "event_id",
-        "user_id",
-        F.when(lane == 0, "SMS")
-        .when(lane == 1, "MMS")
-        .when(lane == 2, "RCS")
-        .when(lane == 3, "FAX")
-        .otherwise("EMAIL")
-        .alias("channel"),
-        F.concat(
-            _digits(F.floor(F.col("us") / 1000).cast("bigint"), 13),
-            method,
-            _digits(F.dayofyear("ts"), 3),
-            _digits(1 + user % 9, 3),
-            tail,
-        ).alias("tx_id"),
-        F.when(lane == 4, mail).otherwise(phone).alias("receiver"),
-        F.lit("15881234").alias("sender"),
-        F.when((lane == 1) & (eid % 7 == 0), 2.5).otherwise(0.5).alias("attachment_mb"),
-        F.when(eid % 4 == 0, "CI")
-        .when(eid % 4 == 1, "AB_CAMPAIGN")
-        .when(eid % 4 == 2, "CRM")
-        .otherwise("DIRECT_API")
-        .alias("source"),
-        "us",
-        F.when(eid % 5 < 2, F.col("us") + (eid % 3600) * 1_000_000)
-        .otherwise(F.col("us"))
-        .alias("due_us"),
+    return (
+        events(spark, sf_dir)
+        .selectExpr(
+            "event_id",
+            "user_id",
+            "dayofyear(ts) as day",
+            "unix_micros(cast(ts as timestamp)) as us",
+            "(event_id div 5) % 5 as ci",
+        )
+        .selectExpr(
+            "event_id",
+            "user_id",
+            "us",
+            "case ci when 0 then 'SMS' when 1 then 'MMS' when 2 then 'RCS' when 3 then 'FAX' else 'EMAIL' end as channel",
+            """concat(lpad(us div 1000, 13, '0'),
+                 if(event_id % 101 = 100, '09', concat('0', 1 + event_id % 5)),
+                 lpad(day, 3, '0'), lpad(1 + user_id % 9, 3, '0'),
+                 lpad(event_id, if(event_id % 97 = 96, 11, 14), '0')) as tx_id""",
+            """if(ci = 4, concat('user', user_id, if(event_id % 41 = 40, '', '@example.com')),
+                 concat(if(event_id % 43 = 42, '02', '010'), lpad(user_id, 8, '0'))) as receiver""",
+            "'15881234' as sender",
+            "if(ci = 1 and event_id % 7 = 0, 2.5D, 0.5D) as attachment_mb",
+            "case event_id % 4 when 0 then 'CI' when 1 then 'AB_CAMPAIGN' when 2 then 'CRM' else 'DIRECT_API' end as source",
+            "if(event_id % 5 < 2, us + (event_id % 3600) * 1000000, us) as due_us",
+        )
     )
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One send request per event, in the request schema plus test keys."""
-    eid = F.col("event_id")
-    n_files = (1 + eid % 6).cast("int")
-    files = F.transform(
-        F.sequence(F.lit(1), n_files),
-        lambda i: F.struct(
-            F.concat(F.lit("file"), i.cast("string")).alias("name"),
-            F.when(i == n_files, F.col("attachment_mb")).otherwise(0.5).alias("size_mb"),
-        ),
-    )
-    none = F.array().cast("array<struct<name:string,size_mb:double>>")
-    return _base(spark, sf_dir).select(
+    """One send request per event, in the request schema plus test keys.
+
+    Multimedia requests carry 1-6 files; the last one has the size that counts.
+    """
+    return _base(spark, sf_dir).selectExpr(
         "event_id",
         "user_id",
-        F.concat(F.lit("CUS"), _digits(F.col("user_id"), 10)).alias("customer_id"),
+        "concat('CUS', lpad(user_id, 10, '0')) as customer_id",
         "tx_id",
-        F.concat(F.lit("REQ"), eid.cast("string")).alias("request_id"),
+        "concat('REQ', event_id) as request_id",
         "channel",
-        (1 + eid % 3).cast("int").alias("priority"),
+        "cast(1 + event_id % 3 as int) as priority",
         "sender",
         "receiver",
-        F.when(F.col("channel").isin("MMS", "EMAIL") & (eid % 3 != 0), F.concat(F.lit("Notice "), eid))
-        .otherwise("")
-        .alias("subject"),
-        F.concat(F.repeat(F.lit("안"), (eid % 50).cast("int")), F.lit(" notice")).alias("body"),
-        F.when(F.col("channel") == "MMS", files).otherwise(none).alias("attachments"),
-        F.when(eid % 5 < 2, F.timestamp_micros("due_us")).alias("scheduled_at"),
-        F.timestamp_micros("us").alias("requested_at"),
+        "if(channel in ('MMS', 'EMAIL') and event_id % 3 <> 0, concat('Notice ', event_id), '') as subject",
+        "concat(repeat('안', cast(event_id % 50 as int)), ' notice') as body",
+        """if(channel = 'MMS',
+             transform(sequence(1, cast(1 + event_id % 6 as int)), i -> named_struct(
+               'name', concat('file', i), 'size_mb', if(i = 1 + event_id % 6, attachment_mb, 0.5D))),
+             cast(array() as array<struct<name:string,size_mb:double>>)) as attachments""",
+        "if(event_id % 5 < 2, timestamp_micros(due_us), null) as scheduled_at",
+        "timestamp_micros(us) as requested_at",
         "source",
-        F.struct(
-            F.when(F.col("source") == "AB_CAMPAIGN", F.concat(F.lit("CAMP_"), (eid % 12).cast("string"))).alias(
-                "campaignId"
-            ),
-            F.concat(F.lit("TPL"), _digits(eid % 7, 4)).alias("templateId"),
-            F.lit(0).alias("retryCount"),
-        ).alias("meta"),
+        """named_struct('campaignId', if(source = 'AB_CAMPAIGN', concat('CAMP_', event_id % 12), null),
+             'templateId', concat('TPL', lpad(event_id % 7, 4, '0')), 'retryCount', 0) as meta""",
     )
 
 
-def _outcome(channel: Column, b: Column) -> Column:
-    """Result code of one attempt for bucket `b` in 0..999."""
-    sms = F.when(b < 950, "10000").when(b < 970, "50001").otherwise("40003")
-    mms = F.when(b < 930, "10000").when(b < 950, "50001").otherwise("40003")
-    rcs = (
-        F.when(b < 70, "50002").when(b < 970, "10000").when(b < 980, "50001").otherwise("40003")
-    )
-    fax = (
-        F.when(b < 850, "10000").when(b < 910, "50003").when(b < 950, "40006").otherwise("40005")
-    )
-    mail = (
-        F.when(b < 980, "10000").when(b < 988, "40007").when(b < 992, "40008").otherwise("50004")
-    )
-    return (
-        F.when((channel == "MMS") & (F.col("attachment_mb") > 2.0), "40004")
-        .when((channel == "EMAIL") & ~is_email(F.col("receiver")), "40001")
-        .when(F.col("event_id") % 89 == 88, "50001")
-        .when(channel == "SMS", sms)
-        .when(channel == "MMS", mms)
-        .when(channel == "RCS", rcs)
-        .when(channel == "FAX", fax)
-        .otherwise(mail)
-    )
+# Share of outcomes per channel, as upper bounds on a bucket 0..999.
+OUTCOMES = {
+    "SMS": [(950, "10000"), (970, "50001"), (970, "50001"), "40003"],
+    "MMS": [(930, "10000"), (950, "50001"), (950, "50001"), "40003"],
+    "RCS": [(70, "50002"), (970, "10000"), (980, "50001"), "40003"],
+    "FAX": [(850, "10000"), (910, "50003"), (950, "40006"), "40005"],
+    "EMAIL": [(980, "10000"), (988, "40007"), (992, "40008"), "50004"],
+}
+
+
+def _outcome(rule: str, n: str) -> str:
+    """Code of attempt `n` under a rule struct (bounds x, codes k)."""
+    b = f"(event_id * 7919 + 13 + {n} * 331) % 1000"
+    steps = " + ".join(f"if({b} >= {rule}.x[{i}], 1, 0)" for i in range(3))
+    return f"coalesce(forced, {rule}.k[{steps}])"
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every delivery attempt of the requests with a usable id."""
-    eid = F.col("event_id")
-    df = _base(spark, sf_dir).where(
-        (F.length("tx_id") == 35) & (F.substring("tx_id", 14, 2) != "09")
-    )
-    buckets = {n: (eid * 7919 + 13 + n * 331) % 1000 for n in range(4)}
-    df = df.select(
-        "*",
-        *[_outcome(F.col("channel"), b).alias(f"own{n}") for n, b in buckets.items()],
-        *[_outcome(F.lit("SMS"), b).alias(f"sms{n}") for n, b in buckets.items()],
+    """Every delivery attempt of the requests with a usable id.
+
+    A 5xxxx outcome leads to the next attempt, up to four; rich messages that
+    are not supported continue on SMS. Most messages need one attempt; only
+    the others fold over the attempt numbers.
+    """
+    rules = ", ".join(
+        f"'{c}', named_struct('x', array({', '.join(str(x) for x, _ in r[:3])}),"
+        f" 'k', array({', '.join(repr(k) for _, k in r[:3])}, {r[3]!r}))"
+        for c, r in OUTCOMES.items()
     )
-    attempts = []
-    switched, alive = F.lit(False), F.lit(True)
-    for n in range(4):
-        code = F.when(switched, F.col(f"sms{n}")).otherwise(F.col(f"own{n}"))
-        attempts.append(
-            F.struct(
-                F.lit(n).alias("attempt"),
-                F.when(switched, "SMS").otherwise(F.col("channel")).alias("ch"),
-                code.alias("code"),
-                alive.alias("alive"),
-            )
+    rule = f"element_at(map({rules}), if(array_contains(seen, '50002'), 'SMS', channel))"
+    chain = f"""aggregate(sequence(1, 3), array(c0), (seen, n) ->
+        if(element_at(seen, -1) like '5%', array_append(seen, {_outcome(rule, "n")}), seen))"""
+    df = (
+        _base(spark, sf_dir)
+        .where("event_id % 97 <> 96 and event_id % 101 <> 100")  # usable ids
+        .selectExpr(
+            "*",
+            """case when channel = 'MMS' and attachment_mb > 2.0 then '40004'
+                 when channel = 'EMAIL' and not contains(receiver, '@') then '40001'
+                 when event_id % 89 = 88 then '50001' end as forced""",
+            f"element_at(map({rules}), channel) as own",
         )
-        switched = switched | (F.col(f"own{n}") == "50002")
-        alive = alive & code.startswith("5")
-    df = df.select("*", F.explode(F.array(*attempts)).alias("a")).where("a.alive")
-    n = F.col("a.attempt")
-    dispatched = (
-        F.col("due_us")
-        + (eid * 37 + n * 11) % 900 * 1000
-        + (F.pow(F.lit(2), n) - 1).cast("bigint") * 30_000_000
+        .selectExpr("*", f"{_outcome('own', '0')} as c0")
+        .selectExpr("*", f"if(c0 like '5%', {chain}, array(c0)) as codes")
+        .selectExpr("*", "array_position(codes, '50002') as moved")
+        .selectExpr("*", "posexplode(codes) as (retry_count, result_code)")
     )
-    elapsed = ((eid * 53 + n * 17) % 1000).cast("int")
-    return df.select(
+    return df.selectExpr(
         "event_id",
         "user_id",
         "tx_id",
-        F.col("a.ch").alias("channel"),
+        "if(moved > 0 and retry_count >= moved, 'SMS', channel) as channel",
+        "receiver",
+        "sender",
+        "result_code",
+        "retry_count",
+        "source",
+        """due_us + (event_id * 37 + retry_count * 11) % 900 * 1000
+             + (shiftleft(1L, retry_count) - 1) * 30000000 as sent_us""",
+        "cast((event_id * 53 + retry_count * 17) % 1000 as int) as elapsed_ms",
+    ).selectExpr(
+        "event_id",
+        "user_id",
+        "tx_id",
+        "channel",
         "receiver",
         "sender",
-        status.status_of(F.col("a.code")).alias("status"),
-        F.col("a.code").alias("result_code"),
-        F.when(F.col("a.code") != "10000", F.concat(F.lit("code "), F.col("a.code"))).alias("error_detail"),
-        n.alias("retry_count"),
+        "case when result_code = '10000' then 'DELIVERED' when result_code like '5%' then 'RETRYING' else 'FAILED' end as status",
+        "result_code",
+        "if(result_code = '10000', null, concat('code ', result_code)) as error_detail",
+        "retry_count",
         "source",
-        F.timestamp_micros(dispatched).alias("dispatched_at"),
-        F.timestamp_micros(dispatched + elapsed.cast("bigint") * 1000).alias("delivered_at"),
-        elapsed.alias("elapsed_ms"),
-        F.lit(ADAPTER_VERSION).alias("adapter_version"),
+        "timestamp_micros(sent_us) as dispatched_at",
+        "timestamp_micros(sent_us + elapsed_ms * 1000) as delivered_at",
+        "elapsed_ms",
+        f"'{ADAPTER_VERSION}' as adapter_version",
     )
 
 
