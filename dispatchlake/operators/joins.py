@@ -8,7 +8,7 @@ skewed partitions of the request or result side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.codes import BUSINESS_ZONE, FALLBACK, ON_TIME_S, code_table
@@ -17,7 +17,8 @@ from dispatchlake.functions.text import address_key
 from dispatchlake.functions.times import due_at, gap_us, local
 
 
-def _register(ref: DataFrame) -> DataFrame:
+def sender_register(ref: DataFrame) -> DataFrame:
+    """Distinct three-digit codes as `_code`: at most 1000 rows, so broadcast."""
     codes = ref.where(F.col("sender_code").rlike(r"^[0-9]{3}\z")).select(
         F.col("sender_code").alias("_code")
     )
@@ -26,13 +27,13 @@ def _register(ref: DataFrame) -> DataFrame:
 
 def registered_only(req: DataFrame, ref: DataFrame) -> DataFrame:
     """Requests whose sender code is in the register."""
-    return req.join(_register(ref), txid.sender_code(F.col("tx_id")) == F.col("_code"), "left_semi")
+    return req.join(sender_register(ref), txid.sender_code(F.col("tx_id")) == F.col("_code"), "left_semi")
 
 
 def unregistered(req: DataFrame, ref: DataFrame) -> DataFrame:
     """The others, with `refuse_reason`."""
     return req.join(
-        _register(ref), txid.sender_code(F.col("tx_id")) == F.col("_code"), "left_anti"
+        sender_register(ref), txid.sender_code(F.col("tx_id")) == F.col("_code"), "left_anti"
     ).withColumn("refuse_reason", F.lit("UNREGISTERED_SENDER"))
 
 
@@ -200,7 +201,3 @@ def resolve_customer(res: DataFrame, contacts: DataFrame) -> DataFrame:
 def customer_snapshot(sends: DataFrame, profile: DataFrame) -> DataFrame:
     """Attach the month's contacts and permissions (customer_id, year_month)."""
     return sends.join(profile, ["customer_id", "year_month"], "left")
-
-
-def within(at: Column, start: Column, end: Column) -> Column:
-    return (at >= start) & (at < end)

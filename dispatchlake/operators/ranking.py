@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from dispatchlake.session import stage
 
+# monotonically_increasing_id: partition number above these bits, row number below
+ROW_BITS = 33
+
 
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Null-safe equality on all `names`."""
@@ -17,36 +20,48 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 
 
 def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Range-partition by (keys, order) and store the rows with their `_block`.
+    """Store the rows in ranges of (keys, order), with `_block` and `_pos`.
 
-    A hot key is cut into as many blocks as its size asks for, so no later
-    window over (key, block) holds more than one partition's rows. The rows
-    are stored because block bounds come from sampling and may differ when a
-    plan runs again.
+    One range shuffle and a sort inside partitions; a hot key is cut into as
+    many blocks as its size asks for. `_pos` is the row's place in its block.
+    The rows are stored because block bounds come from sampling and may differ
+    when a plan runs again.
     """
-    ranged = df.repartitionByRange(*keys, *order)
-    return stage(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    stored = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "blocks")
+    return stored.withColumns(
+        {
+            "_block": F.shiftright("_place", ROW_BITS).cast("int"),
+            "_pos": F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)),
+        }
+    ).drop("_place")
 
 
 def block_offsets(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the same key in earlier blocks; one row per key and block."""
+    """Per key and block: the key's first place, and its rows in earlier blocks.
+
+    Stored, so that its true size decides between a broadcast and a shuffled
+    join. It has at most one row per block plus one per key.
+    """
     before = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    counts = blocks.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    return counts.select(
-        *keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    counts = blocks.groupBy(*keys, "_block").agg(
+        F.count("*").alias("_n"), F.min("_pos").alias("_first")
+    )
+    offsets = counts.select(
+        *keys, "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    return stage(offsets, "offsets")
 
 
-def rank_in_blocks(blocks: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Add the 0-based rank `out` inside each key to rows that carry `_block`."""
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocks.withColumn("_local", F.row_number().over(inside) - 1)
+def rank_in_blocks(blocks: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Add the 0-based rank `out` inside each key to rows of `ordered_blocks`."""
     offsets = block_offsets(blocks, keys)
-    return local.join(offsets, same(local, offsets, [*keys, "_block"])).select(
-        *[local[c] for c in blocks.columns],
-        (F.col("_local") + F.col("_before")).cast("bigint").alias(out),
+    rank = F.col("_before") + F.col("_pos") - F.col("_first")
+    return blocks.join(offsets, same(blocks, offsets, [*keys, "_block"])).select(
+        *[blocks[c] for c in blocks.columns if c != "_pos"], rank.alias(out)
     )
 
 
@@ -54,8 +69,6 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     """0-based rank of every row inside `keys`, ordered by `order` columns.
 
     `order` must be unique inside a key (de-duplicate at-least-once feeds
-    first). Costs one range shuffle and one hash shuffle; the group size does
-    not matter.
+    first). No task holds a whole group, so the group size does not matter.
     """
-    blocks = ordered_blocks(df, keys, order)
-    return rank_in_blocks(blocks, keys, order, out).drop("_block")
+    return rank_in_blocks(ordered_blocks(df, keys, order), keys, out).drop("_block")

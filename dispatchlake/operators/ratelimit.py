@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from dispatchlake.functions.times import SECOND
 from dispatchlake.operators.ranking import ordered_blocks, rank_in_blocks, same
+from dispatchlake.session import stage
 
 
 def rate_limit(
@@ -35,7 +36,7 @@ def rate_limit(
     order = order or [at, "tx_id"]
     size = F.lit(cap) if isinstance(cap, int) else cap
     blocks = ordered_blocks(df, [key], order)
-    with_rank = rank_in_blocks(blocks, [key], order, "_k")
+    with_rank = rank_in_blocks(blocks, [key], "_k")
     slot = F.floor(F.col("_k") / F.col("_cap")).cast("bigint") * window_us
     rows = with_rank.withColumn("_cap", size.cast("bigint")).withColumns(
         {
@@ -46,11 +47,12 @@ def rate_limit(
     )
     lane = [key, "_lane"]
     earlier = Window.partitionBy(*lane).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
+    carried = stage(
         rows.groupBy(*lane, "_block")
         .agg(F.max("_v").alias("_top"))
         .withColumn("_carry", F.max("_top").over(earlier))
-        .drop("_top")
+        .drop("_top"),
+        "carried",
     )
     inside = (
         Window.partitionBy(key, "_block", "_lane")

@@ -1,6 +1,7 @@
 """All registered queries with their comparison SQL."""
 
 from dispatchlake.queries import (
+    flows,
     history_and_docs,
     ids_and_intake,
     joins_and_metrics,
@@ -11,5 +12,6 @@ ALL = {
     **joins_and_metrics.QUERIES,
     **ids_and_intake.QUERIES,
     **history_and_docs.QUERIES,
+    **flows.QUERIES,
     **streams_and_sinks.QUERIES,
 }

@@ -46,7 +46,7 @@ select event_id, tx_id, 'UNREGISTERED_SENDER' as refuse_reason from req where su
   (select lpad(cast(1 + s_suppkey % 6 as varchar), 3, '0') from supplier)""")
 
 
-def _optout(spark: SparkSession, sf: str) -> DataFrame:
+def optout(spark: SparkSession, sf: str) -> DataFrame:
     """Opt-out numbers as people type them: with dashes."""
     dashed = F.concat(F.substring("receiver", 1, 3), F.lit("-"), F.expr("substring(receiver, 4)"))
     return (
@@ -58,7 +58,7 @@ def _optout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def opt_out(spark: SparkSession, sf: str) -> DataFrame:
-    rows = joins.drop_opted_out(requests(spark, sf), _optout(spark, sf))
+    rows = joins.drop_opted_out(requests(spark, sf), optout(spark, sf))
     return rows.select("event_id", "receiver")
 
 
@@ -68,7 +68,7 @@ select event_id, receiver from req where receiver not in
 
 
 def opted_out(spark: SparkSession, sf: str) -> DataFrame:
-    rows = joins.opted_out(requests(spark, sf), _optout(spark, sf))
+    rows = joins.opted_out(requests(spark, sf), optout(spark, sf))
     return rows.select("event_id", "receiver", "refuse_reason")
 
 
@@ -77,7 +77,8 @@ select event_id, receiver, 'OPTED_OUT' as refuse_reason from req where receiver
   (select receiver from req where user_id % 17 = 0 and channel <> 'EMAIL')""")
 
 
-def _permissions(spark: SparkSession, sf: str) -> DataFrame:
+def permission_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per customer; those with user_id % 29 = 28 are missing."""
     user = F.col("user_id")
     return (
         requests(spark, sf)
@@ -93,7 +94,7 @@ def _permissions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def permissions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = joins.apply_permissions(requests(spark, sf), _permissions(spark, sf), zone=ZONE)
+    rows = joins.apply_permissions(requests(spark, sf), permission_table(spark, sf), zone=ZONE)
     return rows.select("event_id", "allowed", "refuse_reason")
 
 
