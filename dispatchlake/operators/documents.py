@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from dispatchlake.codes import BUSINESS_ZONE, HEAVY_SENDS
 from dispatchlake.functions import txid
 from dispatchlake.functions.times import local, year_month
-from dispatchlake.operators.ranking import ranked
+from dispatchlake.operators.ranking import ranked, same
+from dispatchlake.session import stage
 
 MAX_SENDS = 10_000
 ORDER = ["requested_at", "tx_id", "retry_count"]
@@ -44,12 +45,14 @@ def _collect(rows: DataFrame, keys: list[str], max_sends: int) -> DataFrame:
     """Group rows into arrays of at most `max_sends`, in send order.
 
     Keys within the bound are collected directly. Only heavier keys, found by
-    a counting pass, pay for the exact rank that cuts them into parts.
+    a counting pass over the key columns, pay for the exact rank that cuts them
+    into parts. The list of heavy keys is stored, so its true size decides how
+    it is joined, and without any the pass ends there.
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("total_count"))
-    big = sizes.where(F.col("total_count") > max_sends)
-    small_rows = rows.join(big.select(*keys), keys, "left_anti")
-    big_rows = rows.join(big, keys)
+    big = stage(sizes.where(F.col("total_count") > max_sends), "big-groups")
+    any_big = not big.isEmpty()
+    small_rows = rows.join(big, same(rows, big, keys), "left_anti") if any_big else rows
     sends = F.array_sort(F.collect_list(send_struct())).alias("sends")
     updated = F.max("delivered_at").alias("updated_at")
     whole = (
@@ -63,6 +66,9 @@ def _collect(rows: DataFrame, keys: list[str], max_sends: int) -> DataFrame:
             "updated_at",
         )
     )
+    if not any_big:
+        return whole
+    big_rows = rows.join(big, same(rows, big, keys)).select(*[rows[c] for c in rows.columns], "total_count")
     parts = (
         ranked(big_rows, keys, ORDER, "_rank")
         .withColumn("part", F.floor(F.col("_rank") / max_sends).cast("bigint"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake.operators import documents, history as hist_ops, metrics, reconcile
 from dispatchlake.queries.base import ZONE, history, on_hist, on_res, us
+from dispatchlake.session import stage
 from dispatchlake.sources.workload import requests, results
 
 
@@ -105,8 +106,13 @@ def _sends_digest() -> Column:
     return F.md5(F.array_join(line, ",")).alias("sends_md5")
 
 
+def _stored_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The history as the service has it: a table, not a join."""
+    return stage(history(spark, sf), "history")
+
+
 def _docs(spark: SparkSession, sf: str, max_sends: int = 60) -> DataFrame:
-    return documents.customer_month_docs(history(spark, sf), ZONE, max_sends)
+    return documents.customer_month_docs(_stored_history(spark, sf), ZONE, max_sends)
 
 
 def customer_month_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +143,7 @@ from parts group by customer_id, year_month, part""")
 
 def heavy_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly documents of customers above 70 sends a month."""
-    docs = documents.heavy_week_docs(history(spark, sf), 70, ZONE, max_sends=15)
+    docs = documents.heavy_week_docs(_stored_history(spark, sf), 70, ZONE, max_sends=15)
     return docs.select(
         "doc_id", "customer_id", "week", "part", F.size("sends").alias("n_sends"), _sends_digest()
     )
@@ -191,7 +197,7 @@ select status, channel, count(*) as n, count(distinct customer_id) as customers
 
 def history_equals_docs(spark: SparkSession, sf: str) -> DataFrame:
     """The documents were loaded without every 250th message: those must show."""
-    hist = history(spark, sf)
+    hist = _stored_history(spark, sf)
     lost = F.expr("cast(substring(tx_id, 22) as bigint)") % 250 == 9
     docs = documents.customer_month_docs(hist.where(~lost), ZONE)
     return reconcile.history_equals_docs(hist, docs)
