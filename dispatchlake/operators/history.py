@@ -13,10 +13,14 @@ TIMES = ["requested_at", "dispatched_at", "delivered_at"]
 
 
 def history_rows(req: DataFrame, res: DataFrame) -> DataFrame:
-    """Results in the history table's columns, with the request's times."""
+    """Results in the history table's columns, with the request's times.
+
+    A request that arrived several times counts once, so copies on both sides
+    never multiply.
+    """
     sent = req.select(
         "tx_id", "request_id", "scheduled_at", "requested_at", "customer_id", "body", "meta"
-    )
+    ).dropDuplicates(["tx_id"])
     return res.join(sent, "tx_id").select(
         "tx_id",
         "request_id",

@@ -109,22 +109,25 @@ def fallback_chain(res: DataFrame) -> DataFrame:
         F.col("retry_count").alias("rcs_attempt"),
         (F.col("retry_count") + 1).alias("_next"),
         F.col("delivered_at").alias("rcs_delivered_at"),
-    )
+    ).dropDuplicates(["tx_id", "_next"])
     later = res.where(F.col("channel") == "SMS").select(
         "tx_id",
         F.col("retry_count").alias("_next"),
         F.col("result_code").alias("sms_code"),
         F.col("status").alias("sms_status"),
         F.col("dispatched_at").alias("sms_dispatched_at"),
-    )
+    ).dropDuplicates(["tx_id", "_next"])
     return first.join(later, ["tx_id", "_next"], "left").drop("_next")
 
 
+def due_times(req: DataFrame) -> DataFrame:
+    """Due time per id; repeated requests collapse before the join."""
+    return req.groupBy("tx_id").agg(F.min(due_at()).alias("due_at"))
+
+
 def scheduled_dispatches(req: DataFrame, res: DataFrame, tolerance_s: int = ON_TIME_S) -> DataFrame:
     """First attempts of batch messages with their deviation from the schedule."""
-    due = req.where(status.method_lane(F.col("tx_id")) == "batch").select(
-        "tx_id", due_at().alias("due_at")
-    )
+    due = due_times(req.where(status.method_lane(F.col("tx_id")) == "batch"))
     first = res.where("retry_count = 0").select("tx_id", "channel", "dispatched_at")
     late = gap_us(F.col("dispatched_at"), F.col("due_at"))
     return first.join(due, "tx_id").withColumns(
@@ -162,7 +165,7 @@ def batch_progress(schedule: DataFrame, members: DataFrame, res: DataFrame) -> D
             F.bool_or(decided.isin("DONE", "DLQ")).alias("done"),
             F.bool_or(F.col("status") == "DELIVERED").alias("ok"),
         )
-        .join(members.select("tx_id", "batch_id"), "tx_id")
+        .join(members.select("tx_id", "batch_id").distinct(), "tx_id")
         .groupBy("batch_id")
         .agg(F.count_if("done").alias("processed"), F.count_if("ok").alias("delivered"))
     )

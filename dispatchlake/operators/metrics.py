@@ -20,15 +20,14 @@ from dispatchlake.codes import (
 from dispatchlake.functions import status, txid
 from dispatchlake.functions.text import number_range
 from dispatchlake.functions.times import (
-    DAY,
     HOUR,
     MINUTE,
     SECOND,
     bucket_start,
-    due_at,
     gap_us,
     local,
 )
+from dispatchlake.operators.joins import due_times
 
 
 def code() -> Column:
@@ -110,7 +109,7 @@ def tps(res: DataFrame, at: str = "dispatched_at") -> DataFrame:
 
 def dispatch_delays(req: DataFrame, res: DataFrame) -> DataFrame:
     """First attempts with the delay between due time and dispatch."""
-    due = req.select("tx_id", due_at().alias("due_at"))
+    due = due_times(req)
     first = res.where("retry_count = 0").select("tx_id", "channel", "dispatched_at")
     return first.join(due, "tx_id").withColumns(
         {

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.codes import CHANNELS
-from dispatchlake.functions import status
-from dispatchlake.functions.times import DAY, HOUR, MINUTE, due_at
+from dispatchlake.functions.times import HOUR, MINUTE
 from dispatchlake.operators import joins, metrics, ratelimit, reconcile, routing
 from dispatchlake.queries.base import ZONE, history, on_hist, on_req, on_res, us
 from dispatchlake.sources.workload import folded, requests, results

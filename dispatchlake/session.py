@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,27 @@ def configure_streaming(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """On a local master, start stream jobs with one state store per core.
+
+    A stream keeps its number of shuffle partitions for life and has no
+    adaptive merging. On a cluster the session's own setting stands.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        spark.conf.set(name, min(int(before), context.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_local_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's `spark.checkpoint.dir`.
 
@@ -42,10 +65,11 @@ def shared_dir(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="dispatchlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="dispatchlake-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -18,15 +18,15 @@ from dispatchlake.codes import CHANNELS, DISPATCH_FEED
 from dispatchlake.operators.history import latest_status
 from dispatchlake.operators.ratelimit import rate_limit
 from dispatchlake.operators.routing import route_requests, route_results
-from dispatchlake.session import configure_streaming
+from dispatchlake.session import configure_streaming, state_partitions
 from dispatchlake.sources.feeds import read_feed
 
 
-def _trigger(writer: object, every: str | None) -> StreamingQuery:
+def _start(spark: SparkSession, writer: object, every: str | None) -> StreamingQuery:
     """Process what is there and stop, or run on with a trigger interval."""
-    if every:
-        return writer.trigger(processingTime=every).start()
-    return writer.trigger(availableNow=True).start()
+    timed = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    with state_partitions(spark):
+        return timed.start()
 
 
 def to_table(
@@ -37,10 +37,10 @@ def to_table(
     every: str | None = None,
 ) -> StreamingQuery:
     """Append a stream to a Parquet table, exactly once."""
-    configure_streaming(stream.sparkSession)
+    spark = configure_streaming(stream.sparkSession)
     writer = stream.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
-    return _trigger(writer.partitionBy(*by) if by else writer, every)
+    return _start(spark, writer.partitionBy(*by) if by else writer, every)
 
 
 def for_each(
@@ -50,9 +50,9 @@ def for_each(
     mode: str = "append",
     every: str | None = None,
 ) -> StreamingQuery:
-    configure_streaming(stream.sparkSession)
+    spark = configure_streaming(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).foreachBatch(step)
-    return _trigger(writer.option("checkpointLocation", checkpoint), every)
+    return _start(spark, writer.option("checkpointLocation", checkpoint), every)
 
 
 def updates_to_table(
