@@ -205,13 +205,16 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
 
 
 def _cumulative(df: DataFrame, value: Column, bounds: dict[str, list[int]]) -> DataFrame:
-    bucket = F.lit(None).cast("int")
+    # never null: otherwise the join's null check on it is pushed down to the rows
+    bucket = F.lit(-1)
     for channel, les in bounds.items():
-        bucket = F.when(F.col("channel") == channel, _bucket(value, les)).otherwise(bucket)
+        bucket = F.when(F.col("channel") == channel, _bucket(F.col("_value"), les)).otherwise(bucket)
     counts = (
         df.where(F.col("channel").isin(list(bounds)))
+        .groupBy("channel", value.alias("_value"))
+        .agg(F.count("*").alias("_c"))
         .groupBy("channel", bucket.alias("bucket"))
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_c").alias("_n"))
     )
     up_to = Window.partitionBy("channel").orderBy("bucket")
     n = F.coalesce(F.sum("_n").over(up_to), F.lit(0))
@@ -226,8 +229,8 @@ def _cumulative(df: DataFrame, value: Column, bounds: dict[str, list[int]]) -> D
 def latency_histogram(res: DataFrame, bounds: dict[str, list[int]] | None = None) -> DataFrame:
     """Cumulative latency counts per channel for every bound and +Inf.
 
-    Each row is put in its bucket once and counted; the running sum is taken
-    over the few bucket rows.
+    Rows are counted per latency value, the few values are put in buckets, and
+    the running sum is taken over the bucket rows.
     """
     return _cumulative(res, F.col("elapsed_ms"), bounds or LATENCY_BOUNDS_MS)
 
@@ -383,24 +386,15 @@ def sliding_success(
     one instant is one row.
     """
     us = F.unix_micros(F.col(at))
-    moments = res.groupBy("channel", us.alias("us")).agg(
-        F.count("*").alias("n"), F.count_if(status.is_success(code())).alias("ok")
-    )
+    ok = F.when(status.is_success(code()), 1).otherwise(0)
     both = F.array(
-        F.struct(F.col("us").alias("us"), F.col("n").alias("n"), F.col("ok").alias("ok")),
-        F.struct(
-            (F.col("us") + window_us + 1).alias("us"),
-            (-F.col("n")).alias("n"),
-            (-F.col("ok")).alias("ok"),
-        ),
+        F.struct(us.alias("us"), F.lit(1).alias("n"), ok.alias("ok")),
+        F.struct((us + window_us + 1).alias("us"), F.lit(-1).alias("n"), (-ok).alias("ok")),
     )
     steps = (
-        moments.select("channel", F.explode(both).alias("s"))
+        res.select("channel", F.explode(both).alias("s"))
         .groupBy("channel", F.col("s.us").alias("us"))
-        .agg(
-            F.sum("s.n").alias("n"),
-            F.sum("s.ok").alias("ok"),
-        )
+        .agg(F.sum("s.n").alias("n"), F.sum("s.ok").alias("ok"))
         .withColumn("block", F.floor(F.col("us") / block_us))
     )
     before = (

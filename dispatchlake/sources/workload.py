@@ -124,7 +124,8 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr("*", f"{_outcome('own', '0')} as c0")
         .selectExpr("*", f"if(c0 like '5%', {chain}, array(c0)) as codes")
         .selectExpr("*", "array_position(codes, '50002') as moved")
-        .selectExpr("*", "posexplode(codes) as (retry_count, result_code)")
+        # outer: the plain form adds an emptiness filter that computes the chain twice
+        .selectExpr("*", "posexplode_outer(codes) as (retry_count, result_code)")
     )
     return df.selectExpr(
         "event_id",
