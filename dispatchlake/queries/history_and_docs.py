@@ -45,12 +45,14 @@ select tx_id, retry_count, result_code, lag(result_code) over w as previous_code
   dispatched_us - lag(delivered_us) over w as gap_us from res window w as (partition by tx_id order by retry_count)""")
 
 
+def _one_tx(spark: SparkSession, sf: str) -> str:
+    """The id a caller would ask for: message 88, which always fails and is retried."""
+    return requests(spark, sf).where("event_id = 88").first().tx_id
+
+
 def history_by_tx(spark: SparkSession, sf: str) -> DataFrame:
-    """Path of the message with the most attempts (smallest id among equals)."""
-    rows = history(spark, sf)
-    tx = F.expr("substring(tx_id, 22)") == "00000000000088"
-    wanted = rows.where(tx)
-    return wanted.orderBy("retry_count").select(
+    rows = hist_ops.history_by_tx(history(spark, sf), _one_tx(spark, sf))
+    return rows.select(
         "tx_id", "retry_count", "channel", "status", "result_code", us("dispatched_at"), us("delivered_at")
     )
 
@@ -175,12 +177,10 @@ from parts where customer_id = 'CUS0000000042' and year_month between '202401' a
 
 
 def find_send_in_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """The document of the message with sequence 88, found through the history."""
-    seq = F.expr("substring(tx_id, 22)") == "00000000000088"
-    wanted = requests(spark, sf).where(seq).select(F.col("tx_id").alias("wanted"))
-    docs = _docs(spark, sf)
-    hits = documents.sends_of(docs).join(wanted, F.col("txId") == F.col("wanted"))
-    return hits.select("customer_id", "year_month", "txId", "retryCount", "status")
+    found = documents.find_send_in_docs(_docs(spark, sf), _one_tx(spark, sf))
+    return documents.sends_of(found).select(
+        "customer_id", "year_month", "txId", "retryCount", "status"
+    )
 
 
 FIND_SEND = on_hist(_DOC_ROWS + """
