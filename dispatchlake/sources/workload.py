@@ -1,6 +1,6 @@
 """Send requests and delivery results derived from the `events` table.
 
-The reference service ships no data set, so every event becomes one request
+The service has no data set of its own here, so every event becomes one request
 and a deterministic arithmetic bucket decides each delivery attempt. All
 columns are narrow projections of one event row: no shuffle, any scale.
 """
