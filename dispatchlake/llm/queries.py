@@ -10,6 +10,7 @@ from dispatchlake.llm import (
     bin_completion,
     line_labels,
     multiset_fingerprint,
+    ngram_join,
     pivotal_mix,
     secret_markov,
     token_blocks,
@@ -106,6 +107,48 @@ def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id,
+           regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], chr(32)) AS shingle
+    FROM (
+        SELECT doc_id, words,
+               unnest(range(1, greatest(len(words) - 1, least(len(words), 1) + 1))) AS i
+        FROM w
+    )
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both_have AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), link AS (
+    SELECT a, b FROM both_have JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+    WHERE 100 * k >= 90 * (x.n + y.n - k)
+), edge AS (
+    SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM w
+    UNION
+    SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.other = edge.a
+), least_id AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN least_id ON w.doc_id = least_id.doc_id
+"""
+
+
 QUERIES = {
     "op1_warc_revisits": (op1_warc_revisits, OP1_SQL),
     "op2_line_labels": (op2_line_labels, None),
@@ -115,5 +158,6 @@ QUERIES = {
     "op6_attention_quality": (op6_attention_quality, None),
     "op7_secret_markov": (op7_secret_markov, None),
     "op8_bin_completion": (op8_bin_completion, None),
+    "op10_ngram_join": (op10_ngram_join, OP10_SQL),
     "op9_pivotal_mix": (op9_pivotal_mix, None),
 }
