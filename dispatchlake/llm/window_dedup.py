@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.llm import packed
 from dispatchlake.llm.common import byte_words
 
 WINDOW = 13
@@ -58,35 +59,36 @@ def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray,
     return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64)
 
 
-def _send(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """Distinct windows of these documents, and the repeats already known here."""
+def _pack(
+    batch: int, docs: list[tuple[int, np.ndarray, np.ndarray]], blocks: int
+) -> Iterator[pd.DataFrame]:
+    """Distinct windows of these documents by block, and the repeats already known here."""
     ids = np.concatenate([np.full(len(h), d, np.int64) for d, h, _ in docs])
-    first = np.concatenate([h for _, h, _ in docs])
+    first = np.concatenate([h for _, h, _ in docs]).view(np.uint64)
     second = np.concatenate([g for _, _, g in docs])
     order = np.lexsort((ids, second, first))
     ids, first, second = ids[order], first[order], second[order]
     new = np.ones(len(ids), bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     owner = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-    yield pd.DataFrame(
-        {"hash": first[new], "more": second[new], "doc_id": ids[new], "known": None}
-    )
     late = ids != owner
-    if late.any():
-        frame = pd.DataFrame({"doc_id": ids[late], "hash": first[late]})
-        rows = [
-            (int(np.uint64(d * 0x9E3779B97F4A7C15 & (2**64 - 1)).astype(np.int64)), 0, d, own)
-            for d, own in (
-                (d, np.unique(h.to_numpy()).astype("<i8").tobytes())
-                for d, h in frame.groupby("doc_id")["hash"]
-            )
-        ]
-        yield pd.DataFrame(rows, columns=["hash", "more", "doc_id", "known"])
-
-
-def sent_windows(docs: DataFrame, window: int, map_windows: int) -> DataFrame:
+    for chosen, done in ((new, False), (late, True)):
+        if not chosen.any():
+            continue
+        own, hashes, more = ids[chosen], first[chosen], second[chosen]
+        order = np.argsort(own, kind="stable")
+        own, hashes, more = own[order], hashes[order], more[order]
+        if done:
+            block = batch % blocks  # any task may pass them on
+            row = (block, batch, *packed.by_doc(own, hashes), True)
+            yield pd.DataFrame([row], columns=packed.NAMES)
+        else:
+            yield packed.rows_by_block(batch, own, more % blocks, hashes, blocks)
+
+
+def sent_windows(docs: DataFrame, window: int, map_windows: int, blocks: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting, n = [], 0
+        waiting, n, number = [], 0, 0
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 first, second = window_hashes(byte_words(text), window)
@@ -94,59 +96,37 @@ def sent_windows(docs: DataFrame, window: int, map_windows: int) -> DataFrame:
                     waiting.append((int(doc_id), first, second))
                     n += len(first)
                 if n >= map_windows:
-                    yield from _send(waiting)
-                    waiting, n = [], 0
+                    yield from _pack(packed.batch_key(number), waiting, blocks)
+                    waiting, n, number = [], 0, number + 1
         if waiting:
-            yield from _send(waiting)
+            yield from _pack(packed.batch_key(number), waiting, blocks)
 
     return (
         docs.where("doc_id is not null and text is not null")
         .select("doc_id", "text")
-        .mapInPandas(run, "hash long, more long, doc_id long, known binary")
+        .mapInPandas(run, packed.ROW)
     )
 
 
-def repeated_windows(sent: DataFrame) -> DataFrame:
-    """doc_id and the hashes of its windows that a smaller doc_id also has, in pieces."""
+def late_windows(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Entries whose hash a smaller doc_id also has."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    least = np.minimum.reduceat(ids[order], np.nonzero(new)[0])
+    out = np.zeros(len(ids), bool)
+    out[order] = ids[order] > least[np.cumsum(new) - 1]
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, owners = None, {}
-        for frame in frames:
-            passed = frame["known"].notna()
-            yield frame.loc[passed, ["doc_id", "known"]]
-            rows = frame[~passed]
-            if rows.empty:
-                continue
-            hashes, more = rows["hash"].to_numpy(), rows["more"].to_numpy()
-            ids = rows["doc_id"].to_numpy()
-            new = np.ones(len(ids), bool)
-            new[1:] = hashes[1:] != hashes[:-1]
-            run_of = np.cumsum(new) - 1
-            head = np.nonzero(new)[0][run_of]
-            late = (ids > ids[head]) & (more == more[head])
-            # runs that hold different windows, or began in the batch before: row by row
-            odd = np.zeros(run_of[-1] + 1, bool)
-            odd[run_of[more != more[head]]] = True
-            odd[0] |= bool(hashes[0] == last)
-            odd[-1] = True
-            for k in np.nonzero(odd[run_of])[0]:
-                if hashes[k] != last:
-                    last, owners = hashes[k], {}
-                owner = owners.setdefault(more[k], ids[k])
-                late[k] = owner < ids[k]
-            if late.any():
-                found = pd.DataFrame({"doc_id": ids[late], "hash": hashes[late]})
-                out = [
-                    (d, h.to_numpy().astype("<i8").tobytes())
-                    for d, h in found.groupby("doc_id")["hash"]
-                ]
-                yield pd.DataFrame(out, columns=["doc_id", "known"])
 
-    return (
-        sent.repartition("hash")
-        .sortWithinPartitions("hash", "doc_id")
-        .mapInPandas(run, "doc_id long, known binary")
-    )
+def repeated_windows(docs: DataFrame, window: int, map_windows: int) -> DataFrame:
+    """doc_id and the hashes of its windows that a smaller doc_id also has, in pieces."""
+    # words are a blank and more; blocks need their number only roughly
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = packed.n_blocks(total // 6)
+    sent = sent_windows(docs, window, map_windows, blocks)
+    return packed.marked(sent, blocks, 8, late_windows, send_hashes=True)
 
 
 def removal_mask(words: list[bytes], repeated: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -180,7 +160,7 @@ def remove_repeats(
     other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = repeated_windows(sent_windows(docs, window, map_windows))
+    pieces = repeated_windows(docs, window, map_windows).withColumnRenamed("hashes", "known")
     # at most one list per document, no longer than its text
     repeated = pieces.groupBy("doc_id").agg(F.collect_list("known").alias("known"))
 
