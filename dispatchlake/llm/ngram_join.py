@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.llm import packed
 from dispatchlake.llm.common import byte_words
 from dispatchlake.llm.window_dedup import window_hashes
 from dispatchlake.session import stage
@@ -34,9 +35,8 @@ WORDS = 3
 PERCENT = 90
 MOST_LEVELS = 6
 VERIFY_COST = 20.0
-# shingles that a map task packs at once, and that one counting task gets
-MAP_SHINGLES = 2_000_000
-BLOCK_SHINGLES = 2_000_000
+# counters of the sketch that bounds an overlap
+SKETCH = 128
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -84,23 +84,13 @@ def sizes(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, digest string")
 
 
-def _packed(ids: list[int], sets: list[np.ndarray], blocks: int) -> pd.DataFrame:
-    """One row per block: documents, shingles of each, and 32 bits of every hash."""
-    lengths = np.array([len(s) for s in sets])
-    doc = np.repeat(np.arange(len(ids)), lengths)
-    hashes = np.concatenate(sets).view(np.uint64)
-    block = ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
-    low = (hashes >> np.uint64(32)).astype("<u4")
-    order = np.argsort(block, kind="stable")
-    ends = np.searchsorted(block[order], np.arange(blocks + 1))
-    known = np.array(ids, "<i8")
-    rows = []
-    for b in np.nonzero(np.diff(ends))[0]:
-        own = order[ends[b] : ends[b + 1]]
-        docs, counts = np.unique(doc[own], return_counts=True)
-        parts = (known[docs], counts.astype("<u4"), low[own])
-        rows.append((int(b), *(p.tobytes() for p in parts)))
-    return pd.DataFrame(rows, columns=["block", "docs", "counts", "hashes"])
+def seen_twice(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Entries whose hash occurs again."""
+    ordered = np.sort(hashes)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(len(hashes), bool)
+    return twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
 
 
 def shared_counts(docs: DataFrame, words: int, total: int) -> DataFrame:
@@ -108,14 +98,20 @@ def shared_counts(docs: DataFrame, words: int, total: int) -> DataFrame:
 
     Hashes travel in packed blocks, four bytes each and the rest implied by the
     block. Two different shingles may meet in what is left; a document then only
-    seems to share more, and a later step finds out. A block has about
-    BLOCK_SHINGLES hashes, however often one shingle occurs in the corpus: each
-    map task sends a shingle once, with a second entry if it occurs twice there.
+    seems to share more, and a later step finds out.
     """
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    blocks = packed.n_blocks(total)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, sets, n = [], [], 0
+        ids, sets, n, number = [], [], 0, 0
+
+        def rows() -> pd.DataFrame:
+            hashes = np.concatenate(sets).view(np.uint64)
+            block = ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
+            own = np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
+            high = (hashes >> np.uint64(32)).astype("<u4")
+            return packed.rows_by_block(packed.batch_key(number), own, block, high, blocks)
+
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 own = shingles(lower_words(text), words)
@@ -124,56 +120,33 @@ def shared_counts(docs: DataFrame, words: int, total: int) -> DataFrame:
                 ids.append(int(doc_id))
                 sets.append(own)
                 n += len(own)
-                if n >= MAP_SHINGLES:
-                    yield _packed(ids, sets, blocks)
-                    ids, sets, n = [], [], 0
+                if n >= packed.MAP_HASHES:
+                    yield rows()
+                    ids, sets, n, number = [], [], 0, number + 1
         if ids:
-            yield _packed(ids, sets, blocks)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by block; one block is held at a time."""
-
-        def counted(rows: list) -> pd.DataFrame:
-            ids = np.concatenate([np.frombuffer(r.docs, "<i8") for r in rows])
-            times = np.concatenate([np.frombuffer(r.counts, "<u4") for r in rows])
-            hashes = np.concatenate([np.frombuffer(r.hashes, "<u4") for r in rows])
-            ordered = np.sort(hashes)
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            at = np.searchsorted(twice, hashes)
-            shared = np.zeros(len(hashes), np.int64)
-            if len(twice):
-                shared = (twice[np.minimum(at, len(twice) - 1)] == hashes).astype(np.int64)
-            starts = np.concatenate([[0], np.cumsum(times.astype(np.int64))[:-1]])
-            found = pd.DataFrame({"doc_id": ids, "shared": np.add.reduceat(shared, starts)})
-            return found[found["shared"] > 0]
-
-        held, at = [], None
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                if row.block != at and held:
-                    yield counted(held)
-                    held = []
-                at = row.block
-                held.append(row)
-        if held:
-            yield counted(held)
-
-    packed = docs.where("doc_id is not null").mapInPandas(
-        pack, "block int, docs binary, counts binary, hashes binary"
-    )
-    return (
-        packed.repartition(blocks, "block")
-        .sortWithinPartitions("block")
-        .mapInPandas(count, "doc_id long, shared long")
-        .groupBy("doc_id")
-        .agg(F.sum("shared").alias("shared"))
-    )
+            yield rows()
+
+    sent = docs.where("doc_id is not null").mapInPandas(pack, packed.ROW)
+    counted = packed.marked(sent, blocks, 4, seen_twice, send_hashes=False)
+    return counted.groupBy("doc_id").agg(F.sum("n").alias("shared"))
 
 
-def possible(percent: int, n: Column, u: Column, m: Column, v: Column) -> Column:
-    """Whether sets of n and m shingles, u and v of them private, can be linked."""
-    most = F.least(n - u, m - v)
-    return F.lit(100) * most >= F.lit(percent) * (n + m - most)
+def possible(percent: int, x: str, y: str) -> Column:
+    """Whether two documents, given by column prefixes, can be linked.
+
+    They have n shingles, u of them private. The rest is counted by 128 hash
+    classes; no class can share more than the smaller of its two counts. The
+    counts are compared only where the totals leave the question open.
+    """
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+
+    def enough(most: Column) -> Column:
+        return F.lit(100) * most >= F.lit(percent) * (n + m - most)
+
+    total = F.least(n - F.col(f"{x}u"), m - F.col(f"{y}u"))
+    least = F.zip_with(f"{x}sketch", f"{y}sketch", lambda a, b: F.least(a, b))
+    common = F.aggregate(least, F.lit(0), lambda s, k: s + k)
+    return enough(total) & enough(common)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -268,11 +241,16 @@ def choose_prefixes(
                 tokens = [t for _, t in order[:size]]
                 levels = [max(1, k - first + 2) for k in range(size)]
                 if tokens:
-                    out.append((rep, n, private, level, tokens, levels))
-            yield pd.DataFrame(out, columns=["rep", "n", "u", "level", "tokens", "levels"])
+                    own = np.array([t for _, t in order]) & (SKETCH - 1)
+                    sketch = np.bincount(own, minlength=SKETCH).astype(np.int32)
+                    out.append((rep, n, private, level, sketch, tokens, levels))
+            names = ["rep", "n", "u", "level", "sketch", "tokens", "levels"]
+            yield pd.DataFrame(out, columns=names)
 
     return reps.select("rep", "n", "found").mapInPandas(
-        run, "rep long, n long, u long, level int, tokens array<long>, levels array<int>"
+        run,
+        "rep long, n long, u long, level int, sketch array<int>, tokens array<long>,"
+        " levels array<int>",
     )
 
 
@@ -288,7 +266,9 @@ def links(docs: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFr
         .agg(F.min("doc_id").alias("rep")),
         "representatives",
     )
-    rep_texts = docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # as many representatives as there may be: never a broadcast
+    wanted = reps.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    rep_texts = docs.join(wanted, "doc_id", "left_semi")
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -323,29 +303,26 @@ def links(docs: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFr
         .where(F.lit(100) * F.size("found") >= F.lit(percent) * F.col("n"))
     )
     prefixes = stage(choose_prefixes(found, percent), "prefixes")
+    # what each document is known by in a join; its lists carry only its number
+    known = prefixes.select("rep", "n", "u", "level", "sketch")
     lists = prefixes.select(
         "rep", "n", "u", "level", F.explode(F.arrays_zip("tokens", "levels")).alias("t")
     ).select("rep", "n", "u", "level", F.col("t.tokens").alias("token"), F.col("t.levels").alias("at"))
-
     hubs = stage(
         lists.groupBy("token")
-        .agg(F.min(F.struct("u", "rep", "n")).alias("hub"), F.count("*").alias("k"))
+        .agg(F.min(F.struct("u", "rep")).alias("hub"), F.count("*").alias("k"))
         .where("k > 1")
-        .select(
-            "token",
-            F.col("hub.rep").alias("hub"),
-            F.col("hub.n").alias("hub_n"),
-            F.col("hub.u").alias("hub_u"),
-        ),
+        .select("token", F.col("hub.rep").alias("b")),
         "hubs",
     )
     col = F.col
+    offered = lists.join(hubs, "token").where("rep <> b").select(col("rep").alias("a"), "b").distinct()
     star = (
-        lists.join(hubs, "token")
-        .where(col("rep") != col("hub"))
-        .where(possible(percent, col("n"), col("u"), col("hub_n"), col("hub_u")))
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
+        stage(offered, "offered-pairs")
+        .join(known.alias("x"), col("a") == col("x.rep"))
+        .join(known.alias("y"), col("b") == col("y.rep"))
+        .where(possible(percent, "x.", "y."))
+        .select("a", "b")
     )
     near_hubs = stage(verify(star, texts, words, percent), "hub-links")
     groups = stage(connected(near_hubs), "hub-components")
@@ -363,14 +340,15 @@ def links(docs: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFr
         .select("token"),
         "open-tokens",
     )
-    live = stage(marked.join(open_tokens, "token", "left_semi"), "live-lists")
+    live = marked.join(open_tokens, "token", "left_semi").join(known.select("rep", "sketch"), "rep")
+    live = stage(live, "live-lists")
     x, y = live.alias("x"), live.alias("y")
     smaller = F.least("x.level", "y.level")
     pairs = (
         x.join(y, col("x.token") == col("y.token"))
         .where("x.rep < y.rep and x.comp <> y.comp")
         .where(F.greatest("x.at", "y.at") <= smaller)
-        .where(possible(percent, col("x.n"), col("x.u"), col("y.n"), col("y.u")))
+        .where(possible(percent, "x.", "y."))
         .groupBy(col("x.rep").alias("a"), col("y.rep").alias("b"), smaller.alias("l"))
         .agg(F.count("*").alias("k"))
         .where("k >= l")
