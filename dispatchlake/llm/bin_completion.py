@@ -207,7 +207,7 @@ def cut_pieces(
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], np.uint32)
         for frame in frames:
-            for part in slices(frame, "text"):
+            for part in slices(frame, "text", 8 << 20):
                 rows = []
                 found = encoder(path).encode(part["text"].tolist())
                 for doc_id, ids in zip(part["doc_id"], found, strict=True):

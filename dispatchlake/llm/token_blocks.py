@@ -246,7 +246,7 @@ def write_token_files(
             return pd.DataFrame([row], columns=["shard", "part", "path", "n_docs", "n_ids"])
 
         for frame in frames:
-            for piece in slices(frame, "text"):
+            for piece in slices(frame, "text", 8 << 20):
                 found = encoder(path).encode(piece["text"].tolist())
                 for doc_id, ids in zip(piece["doc_id"], found, strict=True):
                     if writer is not None and writer.n_ids >= file_ids:

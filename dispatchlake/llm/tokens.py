@@ -10,12 +10,16 @@ from __future__ import annotations
 import os
 import string
 from array import array
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-# cached words and cached letter runs per Python worker; a full cache starts anew
-CACHE_WORDS = 400_000
+# cached words and cached letter runs per Python worker; a full cache keeps its older
+# half, as frequent words are seen first
+CACHE_WORDS = 600_000
 CACHE_CORES = 800_000
 
 
@@ -46,31 +50,33 @@ class WordEncoder:
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache_words = cache_words
         self.cores: dict[str, bytes] = {}
-        self.clear()
-
-    def clear(self) -> None:
         self.codes = _Codes()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.filled = 0
 
+    def forget(self) -> None:
+        """Keep the older half of the words; codes are in order of first sight."""
+        kept = _Codes()
+        kept.update(islice(self.codes.items(), self.cache_words // 2))
+        self.codes, self.filled = kept, int(self.starts[len(kept)])
+
     def _core(self, core: str) -> bytes:
         """Ids of a run of Latin-1 letters: one pre-token, so the merges alone decide."""
         core = core.lower()
         found = self.cores.get(core)
         if found is None:
             if len(self.cores) >= CACHE_CORES:
-                self.cores.clear()
+                self.cores = dict(islice(self.cores.items(), CACHE_CORES // 2))
             mapped = core if core.isascii() else self.bytes.pre_tokenize_str(core)[0][0]
             found = as_bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
             self.cores[core] = found
         return found
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         ids: list = [None] * len(words)
         slow = []
-        for k, raw in enumerate(words):
-            word = raw.decode()
+        for k, word in enumerate(words):
             core = word.rstrip(string.punctuation)
             if core and core.isalpha() and (core.isascii() or max(core) < "Ā"):
                 tail = word[len(core) :]
@@ -103,11 +109,15 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text; null and empty texts have none."""
         if len(self.codes) > self.cache_words:
-            self.clear()
-        split = [t.encode().split() if isinstance(t, str) else [] for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        code = self.codes.__getitem__
-        codes = np.fromiter((code(w) for ws in split for w in ws), np.int64, int(counts.sum()))
+            self.forget()
+        # Arrow cuts at the six ASCII blanks and numbers the distinct words; an empty
+        # word, before or after blanks, has no ids
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()).fill_null(""))
+        words = pc.list_flatten(lists).dictionary_encode()
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = words.dictionary.to_pylist()
+        known = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
+        codes = known[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         if self.codes.new:
             new, self.codes.new = self.codes.new, []
             self._learn(new)
