@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import passages
-from dispatchlake.llm.common import slices
+from dispatchlake.llm.common import slices, small_batches
 from dispatchlake.llm.training import SAMPLE_DOCS, Adam, held_out, labelled_lines, padded
 
 HIDDEN = 24
@@ -132,6 +132,7 @@ def score_documents(docs: DataFrame, model: AttentionModel, keep_score: float =
     score; an empty table stays empty. Columns score and predicted are replaced.
     Scores use the text alone. With no labelled document the model is untrained.
     """
+    small_batches(docs)
     bound = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @F.pandas_udf("double")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dispatchlake.llm.common import slices
+from dispatchlake.llm.common import slices, small_batches
 from dispatchlake.llm.tokens import default_path, encoder
 from dispatchlake.session import stage
 
@@ -241,6 +241,7 @@ def pack(
     rows are pieces of their own; an empty table gives no rows; other columns are
     ignored. The driver gets one number per length.
     """
+    small_batches(docs)
     pieces = stage(cut_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# rows and bytes that go to a Python worker at once; texts are much longer than usual columns
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20,
+}
+
+
+def small_batches(frame: DataFrame) -> None:
+    """Bound what Python workers and Arrow hold, unless the session asks for less."""
+    conf = frame.sparkSession.conf
+    for name, most in BATCH_SETTINGS.items():
+        try:
+            now = int(conf.get(name))
+        except (PySparkException, ValueError):  # not known to this version, or with a unit
+            continue
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+
+
 def words_of(text: Column) -> Column:
     """Array of words; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import passages
-from dispatchlake.llm.common import byte_words, slices
+from dispatchlake.llm.common import byte_words, slices, small_batches
 from dispatchlake.llm.training import SAMPLE_DOCS, Adam, labelled_lines, padded
 
 CONTENT_SHARE = 0.5
@@ -202,6 +202,7 @@ def judge(
     repeated rows are judged alike; an empty table gives no rows; other columns
     are ignored.
     """
+    small_batches(docs)
     bound = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import packed
-from dispatchlake.llm.common import byte_words
+from dispatchlake.llm.common import byte_words, small_batches
 from dispatchlake.llm.window_dedup import window_hashes
 from dispatchlake.session import stage
 
@@ -368,6 +368,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     null component and links nothing. Rows that repeat a doc_id are rows of their
     own. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = stage(sizes(own, words), "shingle-sizes")
     edges = links(own, sized, words, percent)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 # hashes that a map task packs at once, and that one block gets
-MAP_HASHES = 2_000_000
+MAP_HASHES = 1_000_000
 BLOCK_HASHES = 2_000_000
 
 ROW = "block int, batch long, docs binary, counts binary, hashes binary, done boolean"

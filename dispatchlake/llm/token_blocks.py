@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dispatchlake.llm.common import file_system, slices
+from dispatchlake.llm.common import file_system, slices, small_batches
 from dispatchlake.llm.tokens import default_path, encoder
 from dispatchlake.session import scratch_path, stage
 
@@ -231,6 +231,7 @@ def write_token_files(
     their texts. Columns: shard, part (their order is the order of the ids),
     path, n_docs, n_ids.
     """
+    small_batches(docs)
     path = tokenizer_path or default_path()
     folder = scratch_path(docs.sparkSession, "token-files")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import passages
+from dispatchlake.llm.common import small_batches
 
 SAMPLE_DOCS = 4_000
 SAMPLE_LINES = 128
@@ -37,6 +38,7 @@ def labelled_lines(
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
     )
+    small_batches(docs)
     half = sample_docs // 2
     picked = [
         known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)

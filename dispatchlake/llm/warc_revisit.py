@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.common import file_system
+from dispatchlake.llm.common import file_system, small_batches
 from dispatchlake.session import scratch_path, stage
 
 MIN_BYTES = 1000
@@ -276,6 +276,7 @@ def deduplicate(
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> tuple[DataFrame, str]:
     """Write, resolve and rewrite; the list of fresh archives and their folder."""
+    small_batches(pages)
     folder = scratch_path(pages.sparkSession, "warc")
     first = write_responses(pages, folder, date, archive_bytes)
     headers = stage(read_headers(first, folder), "warc-headers")

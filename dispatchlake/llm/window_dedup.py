@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import packed
-from dispatchlake.llm.common import byte_words
+from dispatchlake.llm.common import byte_words, small_batches
 
 WINDOW = 13
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 # windows that a map task compares at once before it sends them
 MAP_WINDOWS = 3_000_000
 
@@ -159,6 +159,7 @@ def remove_repeats(
     any: its rows stay whole and remove nothing. An empty table gives no rows;
     other columns are ignored.
     """
+    small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = repeated_windows(docs, window, map_windows).withColumnRenamed("hashes", "known")
     # at most one list per document, no longer than its text
