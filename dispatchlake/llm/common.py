@@ -31,7 +31,7 @@ def small_batches(frame: DataFrame) -> None:
     conf = frame.sparkSession.conf
     for name, most in BATCH_SETTINGS.items():
         try:
-            now = int(conf.get(name))
+            now = int(conf.get(name).rstrip("b"))
         except (PySparkException, ValueError):  # not known to this version, or with a unit
             continue
         if not 0 < now <= most:
