@@ -50,11 +50,19 @@ def is_email(receiver: Column) -> Column:
 
 
 def address_key(receiver: Column) -> Column:
-    """Form used to compare receivers: no blanks or dashes, mail in lower case."""
-    return F.when(receiver.contains("@"), F.lower(F.trim(receiver))).otherwise(clean_phone(receiver))
+    """Form used to compare receivers: no blanks or dashes, mail in lower case.
+
+    Null for an empty address, which equals no other.
+    """
+    key = F.when(receiver.contains("@"), F.lower(F.trim(receiver))).otherwise(clean_phone(receiver))
+    return F.nullif(key, F.lit(""))
 
 
-def number_range(channel: Column, receiver: Column) -> Column:
-    """Mail domain, or the first three characters of a phone number."""
+def number_range(channel: Column, receiver: Column, digits: int = 7) -> Column:
+    """Mail domain, or the leading `digits` of a phone number without its dashes.
+
+    Seven digits are a mobile prefix with its exchange; all mobile numbers share
+    the first three.
+    """
     domain = F.when(receiver.contains("@"), F.substring_index(receiver, "@", -1)).otherwise("")
-    return F.when(channel == "EMAIL", domain).otherwise(F.substring(receiver, 1, 3))
+    return F.when(channel == "EMAIL", domain).otherwise(F.substring(clean_phone(receiver), 1, digits))

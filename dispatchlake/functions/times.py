@@ -34,8 +34,8 @@ def year_month(at: Column, zone: str) -> Column:
 
 
 def iso_text(at: Column, zone: str = "Asia/Seoul", offset: str = "+09:00") -> Column:
-    """ISO-8601 text with milliseconds and a fixed offset."""
-    return F.concat(F.date_format(local(at, zone), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(offset))
+    """ISO-8601 text with microseconds and a fixed offset."""
+    return F.concat(F.date_format(local(at, zone), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(offset))
 
 
 def due_at() -> Column:

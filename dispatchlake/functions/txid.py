@@ -5,7 +5,7 @@ Layout: message id (13) + send method (2) + day of year (3) + sender (3) + seque
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.codes import METHOD_CODES, SEQUENCE_DIGITS, TX_LENGTH
@@ -19,6 +19,25 @@ def is_valid(tx: Column) -> Column:
     return F.coalesce(tx.rlike(TX_PATTERN), F.lit(False))
 
 
+# tells an attempt apart: its id and count, and for a bad id the whole record
+RECORD = "_record"
+ATTEMPT = ["tx_id", "retry_count", RECORD]
+
+
+def with_record(df: DataFrame) -> DataFrame:
+    """Add RECORD: null for a valid id, the whole row as text for a bad one.
+
+    Bad ids say nothing about which message a row belongs to, so only equal rows
+    are copies of each other.
+    """
+    return df.withColumn(RECORD, F.when(~is_valid(F.col("tx_id")), F.to_json(F.struct("*"))))
+
+
+def once_per_attempt(df: DataFrame) -> DataFrame:
+    """Each attempt once; rows with a bad id stay unless they are equal in all columns."""
+    return with_record(df).dropDuplicates(ATTEMPT).drop(RECORD)
+
+
 def reject_reason(tx: Column) -> Column:
     """First failed rule, null for a valid id."""
     return (

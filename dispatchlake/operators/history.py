@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dispatchlake.functions import status
+from dispatchlake.functions import status, txid
 from dispatchlake.functions.times import gap_us
 
 TIMES = ["requested_at", "dispatched_at", "delivered_at"]
@@ -15,13 +15,15 @@ TIMES = ["requested_at", "dispatched_at", "delivered_at"]
 def history_rows(req: DataFrame, res: DataFrame) -> DataFrame:
     """Results in the history table's columns, with the request's times.
 
-    A request that arrived several times counts once, so copies on both sides
-    never multiply.
+    Every result stays; without a request its columns are null. A request that
+    arrived several times counts once, as its first arrival, so copies on both
+    sides never multiply.
     """
-    sent = req.select(
-        "tx_id", "request_id", "scheduled_at", "requested_at", "customer_id", "body", "meta"
-    ).dropDuplicates(["tx_id"])
-    return res.join(sent, "tx_id").select(
+    kept = ["request_id", "scheduled_at", "requested_at", "customer_id", "body", "meta"]
+    first = F.min_by(F.struct(*kept), F.struct("requested_at", "request_id")).alias("_first")
+    sent = req.where(txid.is_valid(F.col("tx_id"))).groupBy("tx_id").agg(first)
+    sent = sent.select("tx_id", "_first.*")
+    return res.join(sent, "tx_id", "left").select(
         "tx_id",
         "request_id",
         "channel",
@@ -107,16 +109,19 @@ def latest_status(events: DataFrame) -> DataFrame:
 def attempt_chain(res: DataFrame) -> DataFrame:
     """Attempts in order with the previous and next code and the gap before.
 
-    Copies of an attempt are dropped first, so an id has few rows here.
+    Copies of an attempt are dropped first, so an id has few rows here. A result
+    with a bad id is a chain of its own.
     """
-    chain = Window.partitionBy("tx_id").orderBy("retry_count")
-    return res.dropDuplicates(["tx_id", "retry_count"]).withColumns(
+    chain = Window.partitionBy("tx_id", txid.RECORD).orderBy("retry_count")
+    once = txid.with_record(res).dropDuplicates(txid.ATTEMPT)
+    chained = once.withColumns(
         {
             "previous_code": F.lag("result_code").over(chain),
             "next_code": F.lead("result_code").over(chain),
             "gap_us": gap_us(F.col("dispatched_at"), F.lag("delivered_at").over(chain)),
         }
     )
+    return chained.drop(txid.RECORD)
 
 
 def history_by_tx(hist: DataFrame, tx_id: str) -> DataFrame:
@@ -124,13 +129,13 @@ def history_by_tx(hist: DataFrame, tx_id: str) -> DataFrame:
     return hist.where(F.col("tx_id") == tx_id).orderBy("retry_count", "delivered_at")
 
 
-def history_by_receiver(hist: DataFrame, receiver: str, limit: int = 100) -> DataFrame:
-    """A receiver's sends, newest first (top-k, no full sort)."""
-    return (
+def history_by_receiver(hist: DataFrame, receiver: str, limit: int | None = None) -> DataFrame:
+    """A receiver's sends, newest first; with `limit` the newest so many (no full sort)."""
+    rows = (
         hist.where(F.col("receiver") == receiver)
         .orderBy(F.desc("requested_at"), "tx_id", F.desc("retry_count"))
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def retry_candidates(hist: DataFrame, wanted: str = "RETRYING", channel: str | None = None) -> DataFrame:

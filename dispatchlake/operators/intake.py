@@ -13,6 +13,8 @@ from dispatchlake.functions import txid
 from dispatchlake.functions.times import due_at
 
 CORRUPT = "_corrupt"
+# marks bodies over the size limit, which go to the error path whole
+TOO_LARGE = "too_large"
 
 
 def _parse(df: DataFrame, schema: str, names: dict[str, str], times: list[str]) -> DataFrame:
@@ -24,6 +26,8 @@ def _parse(df: DataFrame, schema: str, names: dict[str, str], times: list[str])
     parsed = df.withColumn("_r", record)
     fields = [f.name for f in parsed.schema["_r"].dataType.fields if f.name != CORRUPT]
     bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    if TOO_LARGE in df.columns:
+        bad = bad | F.col(TOO_LARGE)
 
     def field(name: str) -> Column:
         value = F.col(f"_r.{name}")
@@ -57,9 +61,12 @@ def read_due_batch(df: DataFrame, now: Column | str, at: str = "scheduled_at") -
 
 
 def unbundle(df: DataFrame, items: str = "items") -> DataFrame:
-    """N-message bundles to single records; `item_no` keeps the order (from 0)."""
+    """N-message bundles to single records; `item_no` keeps the order (from 0).
+
+    An empty or null bundle stays as one row with a null `item_no`, for the error path.
+    """
     rest = [c for c in df.columns if c != items]
-    return df.select(*rest, F.posexplode(items).alias("item_no", "_item")).select(
+    return df.select(*rest, F.posexplode_outer(items).alias("item_no", "_item")).select(
         *rest, "item_no", "_item.*"
     )
 
@@ -78,9 +85,13 @@ def load_codes(spark: SparkSession, existing: DataFrame) -> DataFrame:
 def replay(
     feed: DataFrame, history: DataFrame, start: Column, end: Column, at: str = "delivered_at"
 ) -> DataFrame:
-    """Results of [start, end) that history lacks, one row per attempt."""
+    """Results of [start, end) that history lacks, one row per attempt.
+
+    A result with a bad id is lacking unless history has an equal one of that id
+    and count; distinct ones all stay.
+    """
     window = feed.where((F.col(at) >= start) & (F.col(at) < end))
-    once = window.dropDuplicates(["tx_id", "retry_count"])
+    once = txid.once_per_attempt(window)
     return once.join(
         history.select("tx_id", F.col("retry_count").cast("int").alias("retry_count")),
         ["tx_id", "retry_count"],

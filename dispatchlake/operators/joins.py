@@ -56,12 +56,17 @@ def apply_permissions(
 ) -> DataFrame:
     """Add `allowed` and `refuse_reason` (CONSENT, NIGHT_BAN).
 
-    `perms` has one row per customer: sms_agree, email_agree, night_ban_end.
+    `perms` has customer, sms_agree, email_agree, night_ban_end; of several rows of
+    a customer the strictest values count, so requests never multiply.
     SMS, MMS and RCS need sms_agree, EMAIL needs email_agree, FAX neither; a
     customer without a row has not agreed. Sending is allowed while the local
     time is before night_ban_end.
     """
-    rules = perms.select(key, "sms_agree", "email_agree", "night_ban_end")
+    rules = perms.groupBy(key).agg(
+        F.bool_and(F.coalesce("sms_agree", F.lit(False))).alias("sms_agree"),
+        F.bool_and(F.coalesce("email_agree", F.lit(False))).alias("email_agree"),
+        F.min("night_ban_end").alias("night_ban_end"),
+    )
     channel = F.col("channel")
     consent = (
         F.when(channel == "FAX", True)
@@ -192,6 +197,7 @@ def contact_addresses(contacts: DataFrame) -> DataFrame:
         contacts.select("customer_id", F.explode(both).alias("_a"))
         .groupBy(address_key(F.col("_a")).alias("address"))
         .agg(F.min("customer_id").alias("customer_id"))
+        .where("address is not null")
     )
 
 

@@ -147,14 +147,16 @@ def retry_panel(res: DataFrame) -> DataFrame:
     )
 
 
-def failure_patterns(res: DataFrame, min_messages: int = 20, factor: float = 2.0) -> DataFrame:
+def failure_patterns(
+    res: DataFrame, min_messages: int = 20, factor: float = 2.0, digits: int = 7
+) -> DataFrame:
     """Failure rate per channel and number range against the channel's rate.
 
     Failed means a permanent code. Flagged from `min_messages` messages and
     `factor` times the channel rate.
     """
     ranges = res.groupBy(
-        "channel", number_range(F.col("channel"), F.col("receiver")).alias("prefix")
+        "channel", number_range(F.col("channel"), F.col("receiver"), digits).alias("prefix")
     ).agg(F.count("*").alias("n"), F.count_if(status.is_permanent(code())).alias("failed"))
     channels = ranges.groupBy("channel").agg(
         (F.sum("failed") / F.sum("n")).alias("channel_rate")
@@ -171,11 +173,11 @@ def failure_patterns(res: DataFrame, min_messages: int = 20, factor: float = 2.0
     )
 
 
-def worst_prefixes(res: DataFrame, k: int, min_messages: int = 20) -> DataFrame:
-    """The k number ranges with the highest failure rate per channel."""
+def worst_prefixes(res: DataFrame, k: int, min_messages: int, digits: int = 7) -> DataFrame:
+    """The k number ranges of at least `min_messages` with the highest failure rate per channel."""
     rank = Window.partitionBy("channel").orderBy(F.desc("fail_rate"), F.desc("n"), "prefix")
     return (
-        failure_patterns(res, min_messages)
+        failure_patterns(res, min_messages, digits=digits)
         .where(F.col("n") >= min_messages)
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= k)

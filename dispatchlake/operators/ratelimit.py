@@ -31,10 +31,12 @@ def rate_limit(
     """Add `release_at`; nothing is dropped, excess messages are delayed.
 
     `cap` is the number of sends per window: a number, or a column over `key`.
-    `order` must be unique per channel (default: arrival, id).
+    `order` must be unique per channel (default: arrival, id). Without a cap
+    (null) a message leaves at arrival; a cap under 1 is an error.
     """
     order = order or [at, "tx_id"]
     size = F.lit(cap) if isinstance(cap, int) else cap
+    size = F.when(size < 1, F.raise_error(F.lit("a cap is 1 at least"))).otherwise(size)
     blocks = ordered_blocks(df, [key], order)
     with_rank = rank_in_blocks(blocks, [key], "_k")
     slot = F.floor(F.col("_k") / F.col("_cap")).cast("bigint") * window_us
@@ -60,9 +62,10 @@ def rate_limit(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = rows.withColumn("_best", F.max("_v").over(inside))
-    release = F.greatest("_best", "_carry") + F.col("_slot")
+    release = F.timestamp_micros(F.greatest("_best", "_carry") + F.col("_slot"))
+    release = F.when(F.col("_cap").isNull(), local[at]).otherwise(release)
     return local.join(carried, same(local, carried, [key, "_block", "_lane"])).select(
-        *[local[c] for c in df.columns], F.timestamp_micros(release).alias("release_at")
+        *[local[c] for c in df.columns], release.alias("release_at")
     )
 
 

@@ -10,7 +10,7 @@ from dispatchlake.functions import txid
 from dispatchlake.functions.text import address_key
 from dispatchlake.operators.channels import ChannelSpec, apply_channels, default_specs
 from dispatchlake.operators.intake import check_enums
-from dispatchlake.operators.joins import apply_permissions, sender_register
+from dispatchlake.operators.joins import apply_permissions, resolve_customer, sender_register
 from dispatchlake.operators.ratelimit import rate_limit
 from dispatchlake.operators.routing import route_requests, select_channel, with_dispatch_feed
 
@@ -24,15 +24,21 @@ def screen_requests(
     permissions: DataFrame,
     specs: list[ChannelSpec] | None = None,
     zone: str = BUSINESS_ZONE,
+    contacts: DataFrame | None = None,
 ) -> DataFrame:
     """Add `refuse_reason` (null: may be sent) and `refuse_detail`.
 
+    Requests as parsed from the feed have no customer_id; with `contacts` it is
+    found by the receiver's address and added.
+
     Rules in order: transaction id, sender register, opt-out list, consent and
     night ban, allowed values, channel failures. All rules are columns of one
     pass, so refused requests are kept without a second scan; only the opt-out
     and consent joins may shuffle.
     """
     specs = specs or default_specs()
+    if contacts is not None and "customer_id" not in req.columns:
+        req = resolve_customer(req, contacts)
     codes = sender_register(register).withColumn("_known", F.lit(True))
     blocked = optout.select(
         address_key(F.col("receiver")).alias("_address"), F.lit(True).alias("_blocked")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.functions import txid
 from dispatchlake.operators.metrics import minute_metrics
 from dispatchlake.operators.routing import dead_letters, plan_retries, route_results
 
@@ -16,7 +17,7 @@ def settle_results(res: DataFrame) -> dict[str, DataFrame]:
     same de-duplicated results; write the de-duplicated table first when more
     than one output is needed at scale.
     """
-    once = res.dropDuplicates(["tx_id", "retry_count"])
+    once = txid.once_per_attempt(res)
     routed = route_results(once)
     good = routed.where("route <> 'error'").drop("route", "level")
     return {

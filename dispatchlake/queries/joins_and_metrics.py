@@ -351,7 +351,7 @@ def failure_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PATTERNS = """
-, ranges as (select channel, case when channel <> 'EMAIL' then substr(receiver, 1, 3) when receiver like '%@%' then split_part(receiver, '@', 2) else '' end as prefix,
+, ranges as (select channel, case when channel <> 'EMAIL' then substr(receiver, 1, 7) when receiver like '%@%' then split_part(receiver, '@', 2) else '' end as prefix,
     count(*) as n, count(*) filter (where result_code like '4%') as failed from res group by 1, 2),
 patterns as (select *, failed / n as fail_rate,
     cast(sum(failed) over (partition by channel) as bigint) / cast(sum(n) over (partition by channel) as bigint) as channel_rate from ranges),
@@ -360,14 +360,14 @@ FAILURE_PATTERNS = on_res(_PATTERNS + "select * from flags")
 
 
 def worst_prefixes(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.worst_prefixes(results(spark, sf), 2).select(
+    return metrics.worst_prefixes(results(spark, sf), 2, min_messages=5).select(
         "channel", "prefix", "n", "failed", "fail_rate", "rank"
     )
 
 
 WORST_PREFIXES = on_res(_PATTERNS + """
 select channel, prefix, n, failed, fail_rate, rank from (select *, cast(row_number() over (partition by channel order by fail_rate desc, n desc, prefix) as int) as rank
-  from flags where n >= 20) z where rank <= 2""")
+  from flags where n >= 5) z where rank <= 2""")
 
 
 def send_counters(spark: SparkSession, sf: str) -> DataFrame:

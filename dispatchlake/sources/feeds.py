@@ -124,8 +124,9 @@ def write_feed(
 def ingest_http_dump(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
     """Landed request bodies, one JSON record per line, as feed values.
 
-    Bodies over 20 MB keep no value, so parsing sends them to the error path.
+    Bodies over 20 MB are marked `too_large`; parsing sends them to the error
+    path with their text in `raw`.
     """
     reader = spark.readStream if streaming else spark.read
-    body = F.when(F.octet_length("value") <= MAX_BODY_BYTES, F.col("value"))
-    return reader.text(path).select(body.alias("value"))
+    large = F.octet_length("value") > MAX_BODY_BYTES
+    return reader.text(path).select("value", large.alias("too_large"))

@@ -9,12 +9,14 @@ by many tasks.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.operators.channels import format_for_channel
 from dispatchlake.operators.routing import dead_letters, dispatch_feed, route_results
 from dispatchlake.sources.feeds import to_feed, write_feed
+from dispatchlake.session import stage
 
 
 def _write(df: DataFrame, path: str, by: list[str], batch_id: int | None, **options: str) -> None:
@@ -66,7 +68,22 @@ def append_history(res: DataFrame, path: str, batch_id: int | None = None) -> No
 
 
 def write_customer_month(docs: DataFrame, path: str) -> None:
-    """Store documents by month; only the months present are replaced."""
+    """Store documents by month; those of the customers and months present are replaced.
+
+    Stored documents of other customers in these months stay: they are read and
+    staged first, because a month is written as a whole.
+    """
+    keys = ["customer_id", "year_month"]
+    try:
+        stored = docs.sparkSession.read.option("mergeSchema", "false").schema(docs.schema).parquet(path)
+    except AnalysisException:  # nothing stored yet
+        stored = None
+    if stored is not None:
+        months = docs.select("year_month").distinct()
+        others = stored.join(months, "year_month", "left_semi").join(
+            docs.select(*keys).distinct(), keys, "left_anti"
+        )
+        docs = stage(docs.unionByName(others), "documents")
     laid_out = docs.hint("rebalance", "year_month").sortWithinPartitions("customer_id")
     laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "year_month"

@@ -84,8 +84,12 @@ def current_windows(updates: DataFrame) -> DataFrame:
 
 
 def stream_dedup(res: DataFrame, delay: str = DELAY, at: str = "delivered_at") -> DataFrame:
-    """Each attempt once, although the feed delivers at least once."""
-    return res.withWatermark(at, delay).dropDuplicatesWithinWatermark(["tx_id", "retry_count"])
+    """Each attempt once, although the feed delivers at least once.
+
+    Rows with a bad id are copies only if they are equal in all columns.
+    """
+    marked = txid.with_record(res.withWatermark(at, delay))
+    return marked.dropDuplicatesWithinWatermark(txid.ATTEMPT).drop(txid.RECORD)
 
 
 def stream_correlate(

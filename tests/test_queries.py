@@ -4,6 +4,7 @@ import pytest
 from compare import difference, duck
 
 import __spark_entry__ as entry_module
+from dispatchlake.queries import ALL
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +18,12 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+def test_every_query_is_registered_with_sql():
+    assert set(ALL) <= set(entry_module.queries())
+    assert set(ALL) <= set(entry_module.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(ALL))
 def test_query_equals_sql(spark, con, sf, name):
-    df = entry_module.queries()[name](spark, sf)
-    assert difference(df, con, entry_module.oracle_sql()[name]) == ""
+    run, sql = ALL[name]
+    assert difference(run(spark, sf), con, sql) == ""
