@@ -28,6 +28,7 @@ from dispatchlake.session import scratch_path, stage
 
 MIN_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
+LEVEL = 2  # of deflate
 # fixed values of the format
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,7 +70,7 @@ class ArchiveWriter:
         self.sink = system.open_output_stream(path, compression=None)
 
     def add(self, record: bytes) -> tuple[int, int]:
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = packer.compress(record) + packer.flush()
         self.sink.write(member)
         at, self.place = self.place, self.place + len(member)
@@ -140,10 +141,13 @@ def write_responses(pages: DataFrame, folder: str, date: str, archive_bytes: int
     return stage(picked.mapInPandas(run, "archive string, records long"), "warc-list")
 
 
+def tasks_for(archives: DataFrame) -> int:
+    """About one task per archive: rows are few, but each stands for a whole file."""
+    return max(1, min(archives.count(), 20_000))
+
+
 def spread_archives(archives: DataFrame) -> DataFrame:
-    """The list with one task per archive."""
-    n = max(1, min(archives.count(), 20_000))
-    return archives.repartition(n, "archive")
+    return archives.repartition(tasks_for(archives), "archive")
 
 
 def read_headers(archives: DataFrame, folder: str) -> DataFrame:
@@ -218,7 +222,7 @@ def resolve(headers: DataFrame, min_bytes: int) -> DataFrame:
     )
 
 
-def rewrite(resolved: DataFrame, folder: str, date: str) -> DataFrame:
+def rewrite(resolved: DataFrame, folder: str, date: str, tasks: int) -> DataFrame:
     """Fresh archives, one per old one; records keep their order. The list of them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,7 +269,8 @@ def rewrite(resolved: DataFrame, folder: str, date: str) -> DataFrame:
             writer.sink.close()
             yield pd.DataFrame({"archive": [writer.path], "records": [rows]})
 
-    dealt = resolved.repartition("archive").sortWithinPartitions("archive", "place")
+    # a fixed number: the small rows must not be merged into one task
+    dealt = resolved.repartition(tasks, "archive").sortWithinPartitions("archive", "place")
     return stage(dealt.mapInPandas(run, "archive string, records long"), "warc-fresh-list")
 
 
@@ -280,7 +285,7 @@ def deduplicate(
     folder = scratch_path(pages.sparkSession, "warc")
     first = write_responses(pages, folder, date, archive_bytes)
     headers = stage(read_headers(first, folder), "warc-headers")
-    return rewrite(resolve(headers, min_bytes), folder, date), folder
+    return rewrite(resolve(headers, min_bytes), folder, date, tasks_for(first)), folder
 
 
 def resolve_revisits(
