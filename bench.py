@@ -35,6 +35,11 @@ HEADLINE = [
     "sms_body_bytes",
     "stream_dedup",
     "stream_minute_metrics",
+    "stream_retry",
+    "stream_hold_until_due",
+    "stream_rate_limit",
+    "settle_flow",
+    "assign_sequence",
 ]
 
 

@@ -2,11 +2,15 @@
 
 Stream queries write the derived workload to the shared folder, run the job on
 it until all is processed, and return the table it wrote. A marker row one day
-after the last event moves the watermark past all windows and timers.
+after the last event moves the watermark past all windows. The hold jobs get
+their feed week by week, start anew for each, and return when each row left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from dispatchlake.queries.base import ZONE, history, on_hist, on_req, on_res, us
 from dispatchlake.session import configure_streaming, scratch_path
 from dispatchlake.sources import feeds, sinks
 from dispatchlake.sources.workload import folded, requests, results
-from dispatchlake.streaming import jobs, runs
+from dispatchlake.streaming import hold, jobs, runs
 
 MARK = "9" * 13 + "03" + "366" + "999" + "9" * 14
 
@@ -37,10 +41,23 @@ def _as_stream(df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _one_store_per_core(spark: SparkSession) -> Iterator[None]:
+    """Stateful streams have no adaptive merging of small partitions."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _finished(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     out = scratch_path(spark, f"out-{name}")
-    runs.to_table(stream, out, scratch_path(spark, f"checkpoint-{name}")).awaitTermination()
+    with _one_store_per_core(spark):
+        runs.to_table(stream, out, scratch_path(spark, f"checkpoint-{name}")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -72,9 +89,10 @@ def stream_success_alert(spark: SparkSession, sf: str) -> DataFrame:
     res = results(spark, sf).withColumn("delivered_at", folded(F.col("delivered_at")))
     source = _as_stream(res, "alert")
     out = scratch_path(spark, "out-alert")
-    runs.updates_to_table(
-        jobs.stream_success_alert(source), out, scratch_path(spark, "checkpoint-alert")
-    ).awaitTermination()
+    with _one_store_per_core(spark):
+        runs.updates_to_table(
+            jobs.stream_success_alert(source), out, scratch_path(spark, "checkpoint-alert")
+        ).awaitTermination()
     return (
         jobs.current_windows(spark.read.parquet(out))
         .where("alert")
@@ -116,29 +134,59 @@ select r.tx_id, r.request_id, r.requested_us, s.result_code, s.delivered_us, s.t
 from req r left join (select * from res where retry_count = 0 and event_id % 500 <> 3) s using (event_id)""")
 
 
+WEEKS = ["2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
+
+
+def _held_by_week(
+    df: DataFrame, name: str, at: str, due: str, job: Callable, columns: Callable = lambda d: d
+) -> DataFrame:
+    """Run a hold job over weekly deliveries of `df`; `released_at` is null while a row waits."""
+    spark = configure_streaming(df.sparkSession)
+    feed, out, mark = (scratch_path(spark, f"{k}-{name}") for k in ("feed", "out", "checkpoint"))
+    for since, until in zip(["0001-01-01", *WEEKS], [*WEEKS, "9999-01-01"]):
+        week = (F.col(at) >= F.lit(since).cast("timestamp")) & (F.col(at) < F.lit(until).cast("timestamp"))
+        df.where(week).write.mode("append").parquet(feed)
+        job(spark.readStream.schema(df.schema).parquet(feed), out, mark, at).awaitTermination()
+    gone = hold.released(spark, out).drop("batch_id")
+    waiting = hold.held(spark, out, columns(df).schema, due)
+    return gone.unionByName(waiting.withColumn("released_at", F.lit(None).cast("timestamp")))
+
+
+def _released_sql(rows: str, at: str, due: str) -> str:
+    """The latest time of the first week that reaches the due time."""
+    week = "+".join(f"cast({at} >= epoch_us(timestamp '{w}') as int)" for w in WEEKS)
+    clocks = f"select max({at}) as clock from {rows} group by {week}"
+    return f"select h.*, (select min(clock) from ({clocks}) c where clock >= coalesce({due}, {at})) as released_us from {rows} h"
+
+
 def stream_retry(spark: SparkSession, sf: str) -> DataFrame:
-    marked = _marked(
-        results(spark, sf), "delivered_at", result_code="50001", retry_count=0, event_id=-1
-    )
-    out = _finished(jobs.stream_retry(_as_stream(marked, "retry")), "retry")
-    return out.where(F.col("tx_id") != MARK).select(
-        "tx_id", "channel", "send_channel", "decision", "reason", "next_retry_count", us("due_at")
+    res = results(spark, sf)
+    return _held_by_week(
+        res, "retry", "delivered_at", "due_at", runs.retry_stream, jobs.retry_steps
+    ).select(
+        "tx_id",
+        "channel",
+        "send_channel",
+        "decision",
+        "reason",
+        "next_retry_count",
+        us("due_at"),
+        us("released_at"),
     )
 
 
-STREAM_RETRY = on_res("""
+STREAM_RETRY = on_res(f""", planned as (select *, case when decision = 'RETRY' then delivered_us + 30000000 * cast(power(2, retry_count) as bigint) end as due
+  from res where decision <> 'DONE')
 select tx_id, channel, case when decision = 'RETRY' then case when result_code = '50002' then 'SMS' else channel end end as send_channel,
-  decision, reason, case when decision = 'RETRY' then retry_count + 1 end as next_retry_count,
-  case when decision = 'RETRY' then delivered_us + 30000000 * cast(power(2, retry_count) as bigint) end as due_us
-from res where decision <> 'DONE'""")
+  decision, reason, case when decision = 'RETRY' then retry_count + 1 end as next_retry_count, due as due_us, released_us
+from ({_released_sql("planned", "delivered_us", "due")}) p""")
 
 
 def stream_hold_until_due(spark: SparkSession, sf: str) -> DataFrame:
     req = requests(spark, sf)
-    source = _as_stream(
-        _marked(req, "requested_at", scheduled_at="2100-01-01 00:00:00"), "hold"
-    )
-    return _finished(jobs.stream_hold_until_due(source), "hold").select(
+    return _held_by_week(
+        req, "hold", "requested_at", "scheduled_at", runs.hold_stream
+    ).select(
         "event_id",
         "tx_id",
         "channel",
@@ -147,12 +195,13 @@ def stream_hold_until_due(spark: SparkSession, sf: str) -> DataFrame:
         "meta.campaignId",
         us("scheduled_at"),
         us("requested_at"),
+        us("released_at"),
     )
 
 
-STREAM_HOLD = on_req("""
-select event_id, tx_id, channel, body, n_files, campaign_id as "campaignId",
-  case when event_id % 5 < 2 then due_us end as scheduled_us, requested_us from req""")
+STREAM_HOLD = on_req(f""", planned as (select *, case when event_id % 5 < 2 then due_us end as scheduled_us from req)
+select event_id, tx_id, channel, body, n_files, campaign_id as "campaignId", scheduled_us, requested_us, released_us
+from ({_released_sql("planned", "requested_us", "scheduled_us")}) p""")
 
 
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,30 +25,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def configure_streaming(spark: SparkSession) -> SparkSession:
-    """`configure` plus the state store that timers and list state need."""
+    """`configure` plus a state store that keeps large state off the heap."""
     configure(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """On a local master, start stream jobs with one state store per core.
-
-    A stream keeps its number of shuffle partitions for life and has no
-    adaptive merging. On a cluster the session's own setting stands.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        spark.conf.set(name, min(int(before), context.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 _local_folders: dict[str, str] = {}
 
 

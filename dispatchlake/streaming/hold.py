@@ -1,91 +1,125 @@
-"""Hold records until their due time, with event-time timers."""
+"""Hold records until their due time, in a table laid out by due time.
+
+Each micro-batch has one time, its clock, stored before anything else so that a
+repeated batch uses it again. Rows that are due leave at once; the others go to
+the slot of their due time. The batch then releases the stored rows that became
+due since the clock before it, from the slots between the two clocks only. A
+row is stored with a due time after its own batch's clock, so it falls into the
+span of one later batch: it leaves once, not early, and within one trigger.
+Slots that have passed are deleted, so the table holds the rows in flight.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+import time
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-HELD = "due_ms bigint, payload string"
-OUT = "tx_id string, due_ms bigint, payload string"
-
-
-class HoldUntilDue(StatefulProcessor):
-    """Per id: a list of waiting records and one timer for each due time."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", HELD)
-
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for pdf in rows:
-            late = pdf["due_ms"] <= now
-            for due, payload in zip(pdf["due_ms"][~late], pdf["payload"][~late]):
-                self.waiting.appendValue((int(due), payload))
-                self.handle.registerTimer(int(due))
-            if late.any():
-                yield pdf.loc[late, ["tx_id", "due_ms", "payload"]]
-
-    def handleExpiredTimer(
-        self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[pd.DataFrame]:
-        moment = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.waiting.get())
-        ready = [(key[0], d, p) for d, p in held if d <= moment]
-        rest = [(d, p) for d, p in held if d > moment]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if ready:
-            yield pd.DataFrame(ready, columns=["tx_id", "due_ms", "payload"])
-
-    def close(self) -> None:
-        pass
-
-
-def hold_until(stream: DataFrame, due: str, at: str, delay: str) -> DataFrame:
-    """Release each row once the watermark of `at` has passed its `due` time.
-
-    Rows travel as JSON, so any schema can wait. State holds only the rows in
-    flight, spread over the ids.
-    """
-    kind = stream.schema
-    waiting = stream.withWatermark(at, delay).select(
-        "tx_id",
-        F.expr(f"cast(ceil(unix_micros({due}) / 1000) as bigint)").alias("due_ms"),
-        F.to_json(F.struct(*[_stored(f) for f in kind.fields])).alias("payload"),
-        at,
-    )
-    released = waiting.groupBy("tx_id").transformWithStateInPandas(
-        statefulProcessor=HoldUntilDue(),
-        outputStructType=OUT,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    stored = ", ".join(
-        f"`{f.name}` {'bigint' if _is_time(f) else f.dataType.simpleString()}" for f in kind.fields
-    )
-    row = released.select(F.from_json("payload", stored).alias("r"))
-    return row.select(*[_restored(f) for f in kind.fields])
+from pyspark.sql.types import LongType, StructType
 
+SLOT_US = 600_000_000
+TICK = "_tick"
 
-def _is_time(f: Any) -> bool:
-    return f.dataType.typeName() == "timestamp"
 
+def with_ticks(stream: DataFrame) -> DataFrame:
+    """Add a row of nulls per second, so that triggers fire without new data."""
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    seconds = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    ticks = seconds.select(*blank, F.lit(True).alias(TICK))
+    return stream.withColumn(TICK, F.lit(False)).unionByName(ticks)
 
-def _stored(f: Any) -> Any:
-    """JSON text keeps milliseconds of a time only; store microseconds."""
-    return F.unix_micros(f.name).alias(f.name) if _is_time(f) else F.col(f.name)
 
+def release(batch: DataFrame, batch_id: int, path: str, due: str, at: str | None = None) -> None:
+    """One micro-batch: store the rows that wait, write those that leave.
 
-def _restored(f: Any) -> Any:
-    value = F.col(f"r.{f.name}")
-    return (F.timestamp_micros(value) if _is_time(f) else value).alias(f.name)
+    Rows marked as ticks only drive the clock.
+    """
+    rows = batch.where(~F.col(TICK)).drop(TICK).persist()
+    try:
+        _release(rows, batch_id, path, due, at)
+    finally:
+        rows.unpersist()
+
+
+def _release(rows: DataFrame, batch_id: int, path: str, due: str, at: str | None) -> None:
+    before, now = _clock(rows, batch_id, path, at)
+    due_us = F.unix_micros(due)
+    waits = F.coalesce(due_us > now, F.lit(False))
+    _drop_below(rows.sparkSession, f"{path}/held", "due_slot", before // SLOT_US)
+    # rebalance splits a slot that holds most of the rows
+    stored = rows.where(waits).withColumns(
+        {"due_slot": F.floor(due_us / SLOT_US), "batch_id": F.lit(batch_id).cast("bigint")}
+    )
+    stored.hint("rebalance", "due_slot").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("due_slot", "batch_id").parquet(f"{path}/held")
+    ready = _stored(rows.sparkSession, path, rows.schema).where(
+        F.col("due_slot").between(before // SLOT_US, now // SLOT_US)
+        & (due_us > before)
+        & (due_us <= now)
+    )
+    leaving = rows.where(~waits).unionByName(ready.select(*rows.columns))
+    leaving.withColumn("released_at", F.timestamp_micros(F.lit(now))).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/released/batch_id={batch_id}")
+
+
+def _clock(rows: DataFrame, batch_id: int, path: str, at: str | None) -> tuple[int, int]:
+    """Time of the batch before and of this one, in microseconds."""
+    spark = rows.sparkSession
+    known = _clocks(spark, path)
+    before = max((t for b, t in known.items() if b < batch_id), default=0)
+    if batch_id in known:
+        return before, known[batch_id]
+    if at is None:
+        now = time.time_ns() // 1000
+    else:
+        now = rows.agg(F.max(F.unix_micros(at))).first()[0] or before
+    now = max(before, now)
+    one = spark.range(1).select(F.lit(now).cast("bigint").alias("now_us")).coalesce(1)
+    one.write.mode("overwrite").parquet(f"{path}/clock/batch_id={batch_id}")
+    _drop_below(spark, f"{path}/clock", "batch_id", batch_id - 1)
+    return before, now
+
+
+def _clocks(spark: SparkSession, path: str) -> dict[int, int]:
+    """The stored clocks by batch: the last two."""
+    _folder(spark, f"{path}/clock")
+    rows = spark.read.schema("now_us bigint, batch_id bigint").parquet(f"{path}/clock")
+    return {r.batch_id: r.now_us for r in rows.collect()}
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    _folder(spark, f"{path}/held")
+    full = StructType(list(schema.fields)).add("due_slot", LongType()).add("batch_id", LongType())
+    return spark.read.schema(full).parquet(f"{path}/held")
+
+
+def released(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that have left, with `released_at` and `batch_id`."""
+    return spark.read.parquet(f"{path}/released")
+
+
+def held(spark: SparkSession, path: str, schema: StructType, due: str) -> DataFrame:
+    """Rows that still wait, in the columns of `schema`."""
+    now = max(_clocks(spark, path).values(), default=0)
+    waiting = (F.unix_micros(due) > now) & (F.col("due_slot") >= now // SLOT_US)
+    return _stored(spark, path, schema).where(waiting).select(*schema.names)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """File system and path of a folder, made if absent."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(where)
+    return files, where
+
+
+def _drop_below(spark: SparkSession, path: str, name: str, bound: int) -> None:
+    """Delete the partitions of `name` that lie below `bound`."""
+    files, where = _folder(spark, path)
+    for entry in files.listStatus(where):
+        key, _, value = entry.getPath().getName().partition("=")
+        if key == name and int(value) < bound:
+            files.delete(entry.getPath(), True)

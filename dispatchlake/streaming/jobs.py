@@ -14,7 +14,6 @@ from dispatchlake.codes import SUCCESS_FLOOR
 from dispatchlake.functions import status, txid
 from dispatchlake.operators.metrics import metric_columns
 from dispatchlake.operators.routing import classify_failure, plan_retries
-from dispatchlake.streaming.hold import hold_until
 
 DELAY = "10 minutes"
 
@@ -127,10 +126,10 @@ RETRY_COLUMNS = [
 ]
 
 
-def stream_retry(res: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Resend rows when their back-off has passed; dead letters and errors at once.
+def retry_steps(res: DataFrame) -> DataFrame:
+    """Every failure with its decision: resends with `due_at`, dead letters and errors without.
 
-    Only retries pay for state and timers. Feed it de-duplicated results.
+    Feed it de-duplicated results; `runs.retry_stream` holds the resends.
     """
     final = (
         classify_failure(res)
@@ -144,13 +143,4 @@ def stream_retry(res: DataFrame, delay: str = DELAY) -> DataFrame:
         )
         .select(*RETRY_COLUMNS)
     )
-    resend = plan_retries(res).select(*RETRY_COLUMNS)
-    return hold_until(resend, "due_at", "delivered_at", delay).unionByName(final)
-
-
-def stream_hold_until_due(req: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Scheduled requests when their time has come; all others pass through."""
-    later = req.where("scheduled_at is not null")
-    return hold_until(later, "scheduled_at", "requested_at", delay).unionByName(
-        req.where("scheduled_at is null")
-    )
+    return plan_retries(res).select(*RETRY_COLUMNS).unionByName(final)

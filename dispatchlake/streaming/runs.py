@@ -18,15 +18,20 @@ from dispatchlake.codes import CHANNELS, DISPATCH_FEED
 from dispatchlake.operators.history import latest_status
 from dispatchlake.operators.ratelimit import rate_limit
 from dispatchlake.operators.routing import route_requests, route_results
-from dispatchlake.session import configure_streaming, state_partitions
+from dispatchlake.session import configure_streaming
 from dispatchlake.sources.feeds import read_feed
+from dispatchlake.streaming.hold import TICK, release, with_ticks
+from dispatchlake.streaming.jobs import retry_steps
 
 
 def _start(spark: SparkSession, writer: object, every: str | None) -> StreamingQuery:
-    """Process what is there and stop, or run on with a trigger interval."""
+    """Process what is there and stop, or run on with a trigger interval.
+
+    A stream keeps the session's number of shuffle partitions, and so of state
+    stores, for life: set it before the first start.
+    """
     timed = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    with state_partitions(spark):
-        return timed.start()
+    return timed.start()
 
 
 def to_table(
@@ -140,6 +145,44 @@ def rate_limit_stream(
     return for_each(stream, step, checkpoint, every=every)
 
 
+def hold_until(
+    stream: DataFrame,
+    due: str,
+    path: str,
+    checkpoint: str,
+    at: str | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Release each row at the first trigger after its `due` time (null: at once).
+
+    The clock is the machine's time; for a replayed feed name its time column
+    `at`, then the clock is the latest such time seen. With `every` the job
+    runs on and also releases while nothing arrives. `hold.released` and
+    `hold.held` read the result. A path belongs to one checkpoint.
+    """
+    live = every and at is None
+    marked = with_ticks(stream) if live else stream.withColumn(TICK, F.lit(False))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        release(batch, batch_id, path, due, at)
+
+    return for_each(marked, step, checkpoint, every=every)
+
+
+def retry_stream(
+    res: DataFrame, path: str, checkpoint: str, at: str | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Resends when their back-off has passed; dead letters and errors at once."""
+    return hold_until(retry_steps(res), "due_at", path, checkpoint, at, every)
+
+
+def hold_stream(
+    req: DataFrame, path: str, checkpoint: str, at: str | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Scheduled requests when their time has come; all others at once."""
+    return hold_until(req, "scheduled_at", path, checkpoint, at, every)
+
+
 def channel_streams(
     spark: SparkSession,
     job: Callable[[DataFrame], DataFrame],

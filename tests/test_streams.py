@@ -1,5 +1,7 @@
 """Streams in several micro-batches, with restarts, against their batch twins."""
 
+import os
+import time
 from datetime import timedelta
 
 import pytest
@@ -11,7 +13,7 @@ from dispatchlake.operators.ratelimit import rate_limit
 from dispatchlake.session import configure_streaming
 from dispatchlake.sources import feeds, sinks
 from dispatchlake.sources.workload import requests, results
-from dispatchlake.streaming import jobs, runs
+from dispatchlake.streaming import hold, jobs, runs
 
 
 @pytest.fixture()
@@ -70,33 +72,71 @@ def test_dedup_across_batches(spark, sf, place):
     assert got.select("tx_id", "retry_count").distinct().count() == got.count()
 
 
-def test_retry_timers_fire_once_and_survive_restart(spark, sf, place):
+def test_retries_leave_once_and_survive_restart(spark, sf, place):
+    """The clock of a retry job is that of its failures here: the latest `delivered_at` of a part."""
     res = results(spark, sf)
     src, out, ck = place("src"), place("out"), place("ck")
+    clocks = []
     for part in thirds(res, "delivered_at"):
         append(part, src)
-        runs.to_table(jobs.stream_retry(stream_of(spark, res.schema, src)), out, ck).awaitTermination()
-    got = spark.read.parquet(out).where("decision = 'RETRY'")
-    last = res.where("result_code like '5%' and retry_count < 3").agg(F.max("delivered_at")).first()[0]
-    due = routing.plan_retries(res).where(F.col("due_at") <= F.lit(last - timedelta(minutes=10)))
-    assert due.count() > 20
+        runs.retry_stream(stream_of(spark, res.schema, src), out, ck, "delivered_at").awaitTermination()
+        clocks.append(jobs.retry_steps(part).agg(F.max("delivered_at")).first()[0])
+    got = hold.released(spark, out)
+    retries = routing.plan_retries(res)
+    gone = retries.where(F.col("due_at") <= F.lit(clocks[-1]))
     cols = ["tx_id", "send_channel", "next_retry_count", "due_at"]
-    assert rows_of(got.select(*cols)) == rows_of(due.select(*cols))
-    final = spark.read.parquet(out).where("decision <> 'RETRY'")
-    assert final.count() == routing.dead_letters(res).count()
-
-
-def test_nothing_is_released_before_it_is_due(spark, sf, place):
-    req = requests(spark, sf)
+    assert gone.count() > 20
+    assert rows_of(got.where("decision = 'RETRY'").select(*cols)) == rows_of(gone.select(*cols))
+    left = hold.held(spark, out, got.drop("released_at", "batch_id").schema, "due_at")
+    assert rows_of(left.select(*cols)) == rows_of(retries.where(F.col("due_at") > F.lit(clocks[-1])).select(*cols))
+    for row in got.where("decision = 'RETRY'").collect():
+        assert row.released_at == min(c for c in clocks if c >= row.due_at)
+    assert got.where("decision <> 'RETRY'").count() == routing.dead_letters(res).count()
+
+
+def test_a_repeated_batch_releases_the_same_rows(spark, place):
+    def rows(*pairs):
+        df = spark.createDataFrame(pairs, "tx_id string, due_s int, at_s int")
+        at = [F.timestamp_seconds(c).alias(n) for c, n in (("due_s", "due"), ("at_s", "at"))]
+        return df.select("tx_id", *at, F.lit(False).alias(hold.TICK))
+
+    out = place("out")
+    first = rows(("a", 1, 5), ("b", 700, 5), ("c", None, 5), ("d", 6, 5))
+    second = rows(("e", 650, 640), ("f", 641, 650), ("g", 9_000, 1))
+    third = rows(("h", None, 9_500))
+    for batch_id, batch in enumerate([first, first.limit(0), second, third]):
+        for _ in range(2):
+            hold.release(batch, batch_id, out, "due", "at")
+    got = hold.released(spark, out)
+    assert rows_of(got.select("tx_id", "batch_id")) == [
+        ("a", 0), ("b", 3), ("c", 0), ("d", 2), ("e", 2), ("f", 2), ("g", 3), ("h", 3)
+    ]
+    kept = [r.due_slot for r in spark.read.parquet(f"{out}/held").select("due_slot").distinct().collect()]
+    assert min(kept) >= 650 // 600
+    assert hold.held(spark, out, first.drop(hold.TICK).schema, "due").count() == 0
+
+
+def test_rows_leave_on_time_while_nothing_arrives(spark, place):
     src, out, ck = place("src"), place("out"), place("ck")
-    first, second, third = thirds(req, "requested_at")
-    append(first, src)
-    runs.to_table(jobs.stream_hold_until_due(stream_of(spark, req.schema, src)), out, ck).awaitTermination()
-    held = spark.read.parquet(out).where("scheduled_at is not null")
-    mark = first.where("scheduled_at is not null").agg(F.max("requested_at")).first()[0] - timedelta(minutes=10)
-    assert held.where(F.col("scheduled_at") > F.lit(mark)).count() == 0
-    assert held.count() == first.where(F.col("scheduled_at") <= F.lit(mark)).count()
-    assert spark.read.parquet(out).where("scheduled_at is null").count() == first.where("scheduled_at is null").count()
+    now = time.time()
+    req = spark.createDataFrame(
+        [("soon", now + 6), ("later", now + 3600), ("past", now - 5), ("open", None)],
+        "tx_id string, s double",
+    ).select("tx_id", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("scheduled_at"))
+    append(req, src)
+    query = runs.hold_stream(stream_of(spark, req.schema, src), out, ck, every="1 second")
+    try:
+        gone = {}
+        while "soon" not in gone and time.time() < now + 60:
+            time.sleep(1)
+            assert query.exception() is None
+            if os.path.exists(out + "/released"):
+                gone = {r.tx_id: r for r in hold.released(spark, out).collect()} if os.listdir(out + "/released") else {}
+    finally:
+        query.stop()
+    assert set(gone) == {"soon", "past", "open"}
+    late = gone["soon"].released_at.timestamp() - (now + 6)
+    assert 0 <= late < 30
 
 
 def test_rate_limit_goes_on_across_batches(spark, sf, place):
