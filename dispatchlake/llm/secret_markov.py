@@ -89,26 +89,31 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
 
     Both samples are bounded by `sample_docs` documents, those with the smallest
     hashes: of documents with a match, the matched values, and of all documents
-    the ordinary words. The driver gets at most 2 x 16384 counts.
+    the ordinary words. Only values and hashes meet in the task that finds the
+    smallest; the texts of the second sample are read by a join with its hashes
+    (`sample_docs` numbers, broadcast). Equal rows count once there. The driver
+    gets at most 2 x 16384 counts.
     """
-    sample_key = F.xxhash64("text", "doc_id")
+    keyed = docs.select("text", F.xxhash64("text", "doc_id").alias("key"))
     labelled = (
-        docs.where(
+        keyed.where(
             F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
         )
-        .orderBy(sample_key)
+        .select("key", F.transform(base_spans(F.col("text")), lambda s: s["value"]).alias("values"))
+        .orderBy("key")
         .limit(sample_docs)
-        .select(F.explode(F.transform(base_spans(F.col("text")), lambda s: s["value"])).alias("value"))
+        .select(F.explode("values").alias("value"))
     )
     words = F.regexp_extract_all(
         F.regexp_replace("text", CANDIDATE.replace("{16,}", "*[0-9]+[A-Za-z0-9+/_=-]*"), " "),
         F.lit(ORDINARY),
         F.lit(0),
     )
+    texts = keyed.where("text is not null")
+    smallest = texts.select("key").orderBy("key").limit(sample_docs)
     ordinary = (
-        docs.where("text is not null")
-        .orderBy(sample_key)
-        .limit(sample_docs)
+        texts.join(F.broadcast(smallest), "key", "left_semi")
+        .dropDuplicates(["key"])
         .select(F.explode(words).alias("value"))
     )
     both = (
