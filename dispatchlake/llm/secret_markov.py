@@ -91,8 +91,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     hashes: of documents with a match, the matched values, and of all documents
     the ordinary words. Only values and hashes meet in the task that finds the
     smallest; the texts of the second sample are read by a join with its hashes
-    (`sample_docs` numbers, broadcast). Equal rows count once there. The driver
-    gets at most 2 x 16384 counts.
+    (`sample_docs` numbers, broadcast), all copies of a chosen row among them. The
+    driver gets at most 2 x 16384 counts.
     """
     keyed = docs.select("text", F.xxhash64("text", "doc_id").alias("key"))
     labelled = (
@@ -113,7 +113,6 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     smallest = texts.select("key").orderBy("key").limit(sample_docs)
     ordinary = (
         texts.join(F.broadcast(smallest), "key", "left_semi")
-        .dropDuplicates(["key"])
         .select(F.explode(words).alias("value"))
     )
     both = (
