@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 # cached words and cached letter runs per Python worker; a full cache keeps its older
 # half, as frequent words are seen first
-CACHE_WORDS = 600_000
-CACHE_CORES = 800_000
+CACHE_WORDS = 300_000
+CACHE_CORES = 400_000
 
 
 def as_bytes(ids: list[int]) -> bytes:
