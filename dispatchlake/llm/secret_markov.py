@@ -137,7 +137,10 @@ def log_ratios(
     """Smoothed transition log-likelihood ratios from bigram counts.
 
     The secret model also gets the expected counts of `random_pairs` pairs of
-    uniformly random letters and digits, a labelled sample of their kind.
+    uniformly random letters and digits, a labelled sample of their kind. A
+    character that a model has seldom seen borrows the transitions of its kind
+    (small letter, capital, digit, other), a tenth of it as if all characters
+    were alike, so that a small corpus still tells mixed strings from words.
     """
     counts = dict(counts)
     alnum = [ord(c) for c in string.ascii_letters + string.digits]
@@ -145,20 +148,36 @@ def log_ratios(
         for b in alnum:
             secret, ordinary = counts.get(a * 128 + b, (0, 0))
             counts[a * 128 + b] = (secret + random_pairs / len(alnum) ** 2, ordinary)
+    sizes = [26, 26, 10, alphabet - 62]
     rows = [[0.0, 0.0] for _ in range(128)]
+    kinds = [[[0.0, 0.0] for _ in sizes] for _ in sizes]
     for pair, found in counts.items():
+        a, b = divmod(pair, 128)
         for k in (0, 1):
-            rows[pair // 128][k] += found[k]
+            rows[a][k] += found[k]
+            kinds[character_kind(a)][character_kind(b)][k] += found[k]
+    mass = 0.5 * alphabet
     out = []
     for pair in range(128 * 128):
+        a, b = divmod(pair, 128)
+        own, other = kinds[character_kind(a)], character_kind(b)
         logs = []
         for k in (0, 1):
+            share = sizes[other] / alphabet
+            like = (own[other][k] + mass * share) / (sum(n[k] for n in own) + mass)
+            prior = 0.1 / alphabet + 0.9 * like / sizes[other]
             n = counts.get(pair, (0, 0))[k]
-            logs.append(math.log((n + 0.5) / (rows[pair // 128][k] + 0.5 * alphabet)))
+            logs.append(math.log((n + mass * prior) / (rows[a][k] + mass)))
         out.append(round(logs[0] - logs[1], 4))
     return out
 
 
+def character_kind(code: int) -> int:
+    """0 small letter, 1 capital, 2 digit, 3 any other."""
+    c = chr(code)
+    return 0 if c in string.ascii_lowercase else 1 if c in string.ascii_uppercase else 2 if c in string.digits else 3
+
+
 def log_ratio(value: Column, ratios: Column) -> Column:
     """Sum of the log ratios along a string of ASCII characters."""
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
