@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
 A text is the multiset of its paragraphs: lines, cut further after sentence
-ends. Each paragraph hashes to a wide vector, and a fingerprint is the sum of
+ends and every 512 code points, so that a text without either has parts too. Each paragraph hashes to a wide vector, and a fingerprint is the sum of
 the vectors, each lane modulo 2^62. Order does not matter, and adding or
 subtracting one paragraph's vector inserts or deletes it.
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PARAGRAPH = r"\n|(?<=[.!?])\x20"
+PIECE = "(?s).{1,512}"
 EQUAL_LANES = 8
 COUNT_HASHES = 3
 COUNT_LANES = 21 * COUNT_HASHES
@@ -34,7 +35,8 @@ MAX_BUCKETS = 65_536
 
 def paragraphs(text: Column) -> Column:
     """The non-empty paragraphs of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
+    cut = F.split(F.coalesce(text, F.lit("")), PARAGRAPH)
+    return F.flatten(F.transform(cut, lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
 
 
 def vector(paragraph: Column) -> Column:
