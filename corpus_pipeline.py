@@ -19,6 +19,7 @@ from dispatchlake.llm import (
 )
 from dispatchlake.llm.common import table
 from dispatchlake.session import scratch_path
+from dispatchlake.session import stage as store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,12 +35,22 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document per group of near duplicates (five words, 0.8): the smallest doc_id.
 
     Documents without words are nobody's duplicates and stay, as do rows without
-    a doc_id. Rows of one doc_id that are equal in text count as one document.
+    a doc_id. Rows equal in doc_id and text count as one document; rows that
+    repeat a doc_id with other texts are documents of their own, so each has a
+    key by which it is compared. Of near copies under one doc_id the text of the
+    smallest hash stays.
     """
-    groups = ngram_join.components(docs, words=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").select(*COLUMNS).dropDuplicates(["doc_id"])
-    kept = named.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    rest = ["lang", "source", "n_chars"]
+    named = docs.where("doc_id is not null").groupBy("doc_id", "text")
+    named = named.agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    marks = {"key": F.monotonically_increasing_id(), "spread": F.xxhash64("text")}
+    keyed = store(named.withColumns(marks), "keyed-documents")
+    groups = ngram_join.components(keyed.select(F.col("key").alias("doc_id"), "text"), 5, 80)
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id")
+    least = F.min(F.struct("doc_id", "spread", "key")).alias("least")
+    first = keyed.select("key", "doc_id", "spread").join(groups, "key")
+    first = first.groupBy("component_id").agg(least).select("least.key")
+    kept = keyed.join(first, "key", "left_semi").select(*COLUMNS)
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

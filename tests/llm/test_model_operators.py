@@ -317,6 +317,37 @@ def test_pipeline(spark, docs, sf):
     assert {r.doc_id for r in odd.collect() if r.doc_id} == {1, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14}
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(spark, sf):
+    import corpus_pipeline
+
+    def text(mark, swap=None):
+        return " ".join(swap if k == 99 and swap else f"{mark}{k}" for k in range(100))
+
+    rows = [
+        (1, text("a"), "en", "s", 10),
+        (2, text("a", "changed"), "en", "s", 10),
+        (2, text("b"), "en", "s", 10),
+        (2, text("b"), "en", "s", 10),
+        (3, text("c"), "en", "s", 10),
+        (3, text("d"), "en", "s", 10),
+        (4, text("c", "changed"), "en", "s", 10),
+        (5, text("d", "changed"), "en", "s", 10),
+        (6, text("e"), "en", "s", 10),
+        (6, text("e", "changed"), "en", "s", 10),
+        (7, None, "en", "s", 10),
+        (7, "", "en", "s", 10),
+        (None, text("a"), "en", "s", 10),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_each(spark, docs.repartition(3), sf)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    six = [key for key in got if key[0] == 6]
+    assert len(six) == 1 and six[0][1] in (text("e"), text("e", "changed"))
+    del got[six[0]]
+    want = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d"))]
+    assert got == Counter([*want, (7, None), (7, ""), (None, text("a"))])
+
+
 def corpus_pipeline_store(spark, frame, name):
     from dispatchlake.session import stage
 
