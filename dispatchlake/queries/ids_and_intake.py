@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dispatchlake.codes import MAX_RETRIES
 from dispatchlake.functions import txid
 from dispatchlake.operators import channels, ids, intake, routing
 from dispatchlake.operators.joins import due_at
@@ -515,6 +516,19 @@ select r.event_id, r.tx_id, r.channel, r.body, s.result_code as retry_result_cod
 from req r join res s on r.event_id = s.event_id and s.retry_count = 0 where s.result_code like '5%'""")
 
 
+def retry_messages_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The retry messages of every attempt that may be sent again, not of the first alone."""
+    outcome = results(spark, sf).where(F.col("retry_count") < MAX_RETRIES)
+    outcome = outcome.select("tx_id", "retry_count", "result_code")
+    rows = routing.build_retry(requests(spark, sf).join(outcome, "tx_id"))
+    return rows.select("event_id", "tx_id", "channel", "body", "retry_count", "retry_result_code")
+
+
+RETRY_MESSAGES_ALL = on_res("""
+select r.event_id, r.tx_id, r.channel, r.body, s.retry_count, s.result_code as retry_result_code
+from req r join res s on r.event_id = s.event_id where s.decision = 'RETRY'""")
+
+
 def retry_plan(spark: SparkSession, sf: str) -> DataFrame:
     return routing.plan_retries(results(spark, sf)).select(
         "tx_id", "channel", "send_channel", "reason", "next_retry_count", us("due_at")
@@ -611,6 +625,7 @@ QUERIES = {
     "route_results": (route_results, ROUTE_RESULTS),
     "build_results": (build_results, BUILD_RESULTS),
     "retry_messages": (retry_messages, RETRY_MESSAGES),
+    "retry_messages_all": (retry_messages_all, RETRY_MESSAGES_ALL),
     "retry_plan": (retry_plan, RETRY_PLAN),
     "classify_failure": (classify_failure, CLASSIFY),
     "select_channel": (select_channel, SELECT_CHANNEL),

@@ -117,3 +117,16 @@ def test_latest_status_order(spark):
 def test_method_lane_of_unknown_code(spark):
     df = spark.createDataFrame([(TX,), (TX[:13] + "09" + TX[15:],)], "tx_id string")
     assert [r.lane for r in df.select(status.method_lane(F.col("tx_id")).alias("lane")).collect()] == ["online", None]
+
+
+def test_retry_messages_of_all_attempts(spark, sf):
+    """One message per resend that `plan_retries` plans; first attempts alone are fewer."""
+    from dispatchlake.queries import ALL
+    from dispatchlake.sources.workload import results
+
+    got = ALL["retry_messages_all"][0](spark, sf).select("tx_id", "retry_count", "retry_result_code")
+    plan = routing.plan_retries(results(spark, sf)).selectExpr(
+        "tx_id", "next_retry_count - 1 as retry_count", "result_code"
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plan.collect()))
+    assert {r.retry_count for r in got.collect()} == {0, 1, 2}
