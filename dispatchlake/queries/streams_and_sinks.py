@@ -134,6 +134,55 @@ select r.tx_id, r.request_id, r.requested_us, s.result_code, s.delivered_us, s.t
 from req r left join (select * from res where retry_count = 0 and event_id % 500 <> 3) s using (event_id)""")
 
 
+def stream_correlate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All attempts within the default horizon, counted from the due time.
+
+    Every 7th scheduled message is due two days later and answered then, every 500th
+    message is never answered, and the answers of every 300th are two hours late.
+    """
+    eid = F.col("event_id")
+    later = F.when((eid % 7 == 0) & (eid % 5 < 2), F.expr("interval 2 days")).otherwise(
+        F.expr("interval 0 days")
+    )
+    slow = F.when(eid % 300 == 4, F.expr("interval 2 hours")).otherwise(F.expr("interval 0 hours"))
+    asked = requests(spark, sf).withColumn("scheduled_at", F.col("scheduled_at") + later)
+    answers = results(spark, sf).where("event_id % 500 <> 3")
+    answers = answers.withColumn("delivered_at", F.col("delivered_at") + later + slow)
+    req = _as_stream(_outlived(asked, "requested_at"), "all-requests")
+    res = _as_stream(_outlived(answers, "delivered_at"), "all-results")
+    return (
+        _finished(jobs.stream_correlate(req, res), "correlate-all")
+        .where(F.col("tx_id") != MARK)
+        .select(
+            "tx_id",
+            "request_id",
+            us("requested_at"),
+            "retry_count",
+            "result_code",
+            us("delivered_at"),
+            "missing",
+            "late",
+        )
+    )
+
+
+def _outlived(df: DataFrame, time: str) -> DataFrame:
+    """With the marker row a week later, after the longest schedule."""
+    marked = _marked(df, time)
+    week = F.when(F.col("tx_id") == MARK, F.expr("interval 7 days")).otherwise(F.expr("interval 0 days"))
+    return marked.withColumn(time, F.col(time) + week)
+
+
+STREAM_CORRELATE_ALL = on_res("""
+, asked as (select *, case when event_id % 7 = 0 and event_id % 5 < 2 then 172800000000 else 0 end as later from req),
+answers as (select s.*, s.delivered_us + a.later + case when event_id % 300 = 4 then 7200000000 else 0 end as back_us
+  from res s join asked a using (event_id) where event_id % 500 <> 3),
+paired as (select a.tx_id as request_tx, a.request_id, a.requested_us, s.tx_id as result_tx, s.retry_count, s.result_code, s.back_us
+  from asked a full join answers s on a.tx_id = s.tx_id and s.back_us between a.requested_us and a.due_us + a.later + 3600000000)
+select coalesce(request_tx, result_tx) as tx_id, request_id, requested_us, retry_count, result_code, back_us as delivered_us,
+  result_tx is null as missing, request_tx is null as late from paired""")
+
+
 WEEKS = ["2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
 
 
@@ -445,6 +494,7 @@ QUERIES = {
     "stream_success_alert": (stream_success_alert, STREAM_ALERT),
     "stream_dedup": (stream_dedup, STREAM_DEDUP),
     "stream_correlate": (stream_correlate, STREAM_CORRELATE),
+    "stream_correlate_all": (stream_correlate_all, STREAM_CORRELATE_ALL),
     "stream_retry": (stream_retry, STREAM_RETRY),
     "stream_hold_until_due": (stream_hold_until_due, STREAM_HOLD),
     "stream_rate_limit": (stream_rate_limit, RATE_LIMIT),

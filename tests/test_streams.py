@@ -181,6 +181,45 @@ def test_correlate_flags_missing(spark, sf, place):
     assert flagged.count() == lost.count() > 0
 
 
+def test_correlate_counts_from_the_due_time(spark, place):
+    """Scheduled three days ahead and answered then; late, unknown and missing answers."""
+    req = spark.sql("""select * from values
+        ('a', 'ra', timestamp'2024-01-01 10:00:00', timestamp'2024-01-04 10:00:00'),
+        ('b', 'rb', timestamp'2024-01-01 10:00:00', null),
+        ('c', 'rc', timestamp'2024-01-01 10:00:00', timestamp'2024-01-01 12:00:00'),
+        (null, 'rn', timestamp'2024-01-01 10:00:00', null)
+        as t(tx_id, request_id, requested_at, scheduled_at)""")
+    res = spark.sql("""select *, '10000' as result_code, 'DELIVERED' as status from values
+        ('a', 0, timestamp'2024-01-04 10:00:30'), ('a', 1, timestamp'2024-01-04 10:59:00'),
+        ('b', 0, timestamp'2024-01-01 11:30:00'), ('d', 0, timestamp'2024-01-01 11:00:00')
+        as t(tx_id, retry_count, delivered_at)""")
+    end = "timestamp'2024-01-20 00:00:00'"
+    marks = (
+        spark.sql(f"select 'z' as tx_id, 'rz' as request_id, {end} as requested_at, cast(null as timestamp) as scheduled_at"),
+        spark.sql(f"select 'z' as tx_id, 0 as retry_count, {end} as delivered_at, '10000' as result_code, 'DELIVERED' as status"),
+    )
+    a, b, out, ck = place("a"), place("b"), place("out"), place("ck")
+    for x, y in ((req, res), marks):
+        append(x, a)
+        append(y, b)
+        joined = jobs.stream_correlate(stream_of(spark, req.schema, a), stream_of(spark, res.schema, b))
+        # stop and start again from the checkpoint
+        runs.to_table(joined, out, ck).awaitTermination()
+    got = spark.read.parquet(out).where("coalesce(tx_id, '') <> 'z'")
+    assert rows_of(got.select("tx_id", "request_id", "retry_count", "missing", "late")) == sorted(
+        [
+            ("a", "ra", 0, False, False),
+            ("a", "ra", 1, False, False),
+            ("b", "rb", None, True, False),
+            ("b", None, 0, False, True),
+            ("c", "rc", None, True, False),
+            ("d", None, 0, False, True),
+            (None, "rn", None, True, False),
+        ],
+        key=str,
+    )
+
+
 def test_one_channel_down_leaves_the_others_running(spark, sf, place):
     req = requests(spark, sf)
     sinks.fan_out(req, place("feeds"))
