@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import (
     attention_quality,
     bin_completion,
+    importance_resampling,
     line_labels,
     multiset_fingerprint,
     ngram_join,
     pivotal_mix,
     secret_markov,
+    sentencepiece_rounds,
     token_blocks,
     warc_revisit,
     window_dedup,
@@ -149,6 +153,79 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN least_id ON w.doc_id = least_id.d
 """
 
 
+def op11_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_rounds.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target, grams=1).drop("n_words")
+
+
+# DuckDB has no crc32: two steps of four bits per byte, on a table of sixteen entries
+CRC_TABLE = "[" + ", ".join(
+    str(reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), k)) for k in range(16)
+) + "]"
+
+def crc32_sql(text: str) -> str:
+    """SQL expression for the unsigned crc32 of a text's UTF-8 bytes."""
+    digits, hexes = f"hex({text})", "'123456789ABCDEF'"
+    # low four bits of a byte first
+    nibbles = (
+        f"list_transform(range(0, length({digits})), lambda i: "
+        f"strpos({hexes}, {digits}[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END])::BIGINT)"
+    )
+    step = f"xor(c >> 4, {CRC_TABLE}[xor(c & 15, x) + 1])"
+    whole = f"list_concat([4294967295::BIGINT], {nibbles})"
+    return f"xor(list_reduce({whole}, lambda c, x: {step}), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), b AS (
+    SELECT unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM benchmark
+), f AS (
+    SELECT doc_id, unnest(words) AS word FROM w
+), known AS (
+    SELECT word, {crc32_sql("word")} % 10000 AS bucket
+    FROM (SELECT word FROM f UNION SELECT word FROM b)
+), s AS (
+    SELECT bucket, count(*) AS n FROM f JOIN known USING (word) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS n FROM b JOIN known USING (word) GROUP BY bucket
+), gain AS (
+    SELECT k.bucket, floor(1000 * ln(
+        (coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)
+        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain
+    FROM (SELECT DISTINCT bucket FROM known) k
+    LEFT JOIN s ON k.bucket = s.bucket LEFT JOIN t ON k.bucket = t.bucket
+), mean AS (
+    SELECT doc_id, sum(gain)::BIGINT AS total, count(*) AS n
+    FROM f JOIN known USING (word) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+    SELECT w.doc_id, len(words)::BIGINT AS n_features,
+           coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+           coalesce(floor(total::DOUBLE / n), 0)::BIGINT + floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+               / 4294967296)))::BIGINT AS score
+    FROM w LEFT JOIN mean ON w.doc_id = mean.doc_id
+), placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20
+)
+SELECT scored.*, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed ON scored.doc_id = placed.doc_id
+"""
+
+
 QUERIES = {
     "op1_warc_revisits": (op1_warc_revisits, OP1_SQL),
     "op2_line_labels": (op2_line_labels, None),
@@ -158,6 +235,8 @@ QUERIES = {
     "op6_attention_quality": (op6_attention_quality, None),
     "op7_secret_markov": (op7_secret_markov, None),
     "op8_bin_completion": (op8_bin_completion, None),
+    "op11_sentencepiece_rounds": (op11_sentencepiece_rounds, None),
+    "op12_importance_resampling": (op12_importance_resampling, OP12_SQL),
     "op10_ngram_join": (op10_ngram_join, OP10_SQL),
     "op9_pivotal_mix": (op9_pivotal_mix, None),
 }
