@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dispatchlake.llm import (
     attention_quality,
     bin_completion,
+    conversation_repair,
     importance_resampling,
     line_labels,
     multiset_fingerprint,
@@ -226,6 +227,99 @@ FROM scored LEFT JOIN placed ON scored.doc_id = placed.doc_id
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged)
+
+
+def _step(way: str, cost: str, letter: str, line: str | None = None) -> str:
+    """SQL for a way (cost, audit, lines) with one more edit."""
+    lines = f"list_append({way}.t, {line})" if line else f"{way}.t"
+    return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': {lines}}}"
+
+
+def _use(way: str, role: str) -> str:
+    """SQL for keeping or reroling the row as `role`, free to go or not."""
+    kept = f"CASE WHEN initial = '{role[0]}' THEN role ELSE '{role}' END || ':' || text"
+    return (
+        f"{{'c': {way}.c + extra + (initial <> '{role[0]}')::BIGINT,"
+        f" 'a': {way}.a || CASE WHEN initial = '{role[0]}' THEN 'K' ELSE 'R' END,"
+        f" 't': list_append({way}.t, {kept})}}"
+    )
+
+
+USER, ASSISTANT = "'user:'", "'assistant:'"
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {crc32_sql("key")} % 20 AS kind
+    FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+          FROM conversations)
+), r AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                     ELSE text END AS text,
+           unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS again
+    FROM d WHERE kind <> 0
+), o AS (
+    SELECT *, role[1] AS initial, regexp_replace(text, '[ 	-]+$', '') AS bare,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS nth
+    FROM r
+), f AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+    FROM o
+), numbers AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+    FROM f GROUP BY conv_id
+), steps AS (
+    SELECT conv_id, i, role, text, initial, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS must,
+           CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra
+    FROM f
+), way AS (
+    SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS b0,
+           {{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS b1, b1 AS b2, b1 AS b3
+    FROM numbers
+    UNION ALL
+    SELECT conv_id, i, {_step("b0", "2", "D")},
+           list_min([{_step("b1", "2", "D")},
+                     CASE WHEN initial = 's' AND NOT must THEN {{'c': b0.c + extra,
+                         'a': b0.a || 'K', 't': list_append(b0.t, role || ':' || text)}} END]),
+           list_min([{_step("i2", "2", "D")}, CASE WHEN NOT must THEN {_use("b0", "user")} END,
+                     CASE WHEN NOT must THEN {_use("b1", "user")} END,
+                     CASE WHEN NOT must THEN {_use("i3", "user")} END]),
+           list_min([{_step("i3", "2", "D")}, CASE WHEN NOT must THEN {_use("i2", "assistant")} END])
+    FROM (
+        SELECT *, list_min([b3, {_step("i2", "5", "I", ASSISTANT)}]) AS i3
+        FROM (
+            SELECT steps.*, b0, b1, b3,
+                   list_min([b2, {_step("b0", "5", "I", USER)}, {_step("b1", "5", "I", USER)},
+                             {_step("b3", "5", "I", USER)}]) AS i2
+            FROM way JOIN steps ON way.conv_id = steps.conv_id AND steps.i = way.i + 1
+        )
+    )
+), best AS (
+    SELECT numbers.conv_id, list_min([b0, b3, {_step("b2", "5", "I", ASSISTANT)},
+               {{'c': b1.c + 10, 'a': b1.a || 'II', 't': b1.t || [{USER}, {ASSISTANT}]}}]) AS b
+    FROM way JOIN numbers ON way.conv_id = numbers.conv_id AND way.i = n
+)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+       coalesce(b.a, '') AS audit,
+       sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) every
+LEFT JOIN numbers ON every.conv_id IS NOT DISTINCT FROM numbers.conv_id
+LEFT JOIN best ON every.conv_id = best.conv_id
+"""
+
+
 QUERIES = {
     "op1_warc_revisits": (op1_warc_revisits, OP1_SQL),
     "op2_line_labels": (op2_line_labels, None),
@@ -237,6 +331,7 @@ QUERIES = {
     "op8_bin_completion": (op8_bin_completion, None),
     "op11_sentencepiece_rounds": (op11_sentencepiece_rounds, None),
     "op12_importance_resampling": (op12_importance_resampling, OP12_SQL),
+    "op13_conversation_repair": (op13_conversation_repair, OP13_SQL),
     "op10_ngram_join": (op10_ngram_join, OP10_SQL),
     "op9_pivotal_mix": (op9_pivotal_mix, None),
 }

@@ -9,7 +9,7 @@ from dispatchlake.llm.queries import QUERIES
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry_module.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
