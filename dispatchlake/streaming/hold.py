@@ -1,25 +1,31 @@
-"""Hold records until their due time, in a table laid out by due time.
-
-Each micro-batch has one time, its clock, stored before anything else so that a
-repeated batch uses it again. Rows that are due leave at once; the others go to
-the slot of their due time. The batch then releases the stored rows that became
-due since the clock before it, from the slots between the two clocks only. A
-row is stored with a due time after its own batch's clock, so it falls into the
-span of one later batch: it leaves once, not early, and within one trigger.
-Slots that have passed are deleted, so the table holds the rows in flight.
+"""Hold records until their due time, in a log of segments with one manifest.
+
+A micro-batch has one time, its clock. Rows that are due leave at once; the others
+are written as a segment, ranged by due time. The batch then releases the stored
+rows that became due since the clock before it; the manifest's ranges of due time
+name the files that may hold some. A row is stored with a due time after its own
+batch's clock, so it falls between two clocks once: it leaves once, not early, and
+within one trigger. Waiting rows, released rows and the clock are one commit
+(`commits`), so an attempt that dies leaves no trace, its clock included.
+
+Files that hold only past due times are forgotten; segments are merged by levels,
+without the rows that have left. So the files opened by a trigger are those of the
+time that has passed, however many rows wait.
 """
 
 from __future__ import annotations
 
 import time
 
-from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
+
+from dispatchlake.streaming.commits import Commits, Layout
 
-SLOT_US = 600_000_000
 TICK = "_tick"
+DUE = "_due_us"
+TABLES = {"held": Layout(index=DUE), "released": Layout()}
 
 
 def with_ticks(stream: DataFrame) -> DataFrame:
@@ -35,91 +41,47 @@ def release(batch: DataFrame, batch_id: int, path: str, due: str, at: str | None
 
     Rows marked as ticks only drive the clock.
     """
+    commits = Commits(batch.sparkSession, path, TABLES)
+    writer = commits.batch(batch_id)
+    if writer is None:
+        return
     rows = batch.where(~F.col(TICK)).drop(TICK).persist()
     try:
-        _release(rows, batch_id, path, due, at)
+        before = commits.state.get("now_us", 0)
+        if at is None:
+            now = time.time_ns() // 1000
+        else:
+            now = rows.agg(F.max(F.unix_micros(at))).first()[0] or before
+        now = max(before, now)
+        due_us = F.unix_micros(due)
+        waits = F.coalesce(due_us > now, F.lit(False))
+        ready = commits.read("held", rows.withColumn(DUE, due_us).schema, before, now)
+        ready = ready.where((F.col(DUE) > before) & (F.col(DUE) <= now)).select(*rows.columns)
+        leaving = rows.where(~waits).unionByName(ready).withColumns(
+            {
+                "released_at": F.timestamp_micros(F.lit(now)),
+                "batch_id": F.lit(batch_id).cast("bigint"),
+            }
+        )
+        writer.append("released", leaving)
+        writer.append("held", rows.where(waits).withColumn(DUE, due_us))
+        writer.drop("held", now)
+        writer.merge("held", F.col(DUE) > now)
+        writer.merge("released")
+        writer.state["now_us"] = now
+        writer.commit()
     finally:
         rows.unpersist()
 
 
-def _release(rows: DataFrame, batch_id: int, path: str, due: str, at: str | None) -> None:
-    before, now = _clock(rows, batch_id, path, at)
-    due_us = F.unix_micros(due)
-    waits = F.coalesce(due_us > now, F.lit(False))
-    _drop_below(rows.sparkSession, f"{path}/held", "due_slot", before // SLOT_US)
-    # rebalance splits a slot that holds most of the rows
-    stored = rows.where(waits).withColumns(
-        {"due_slot": F.floor(due_us / SLOT_US), "batch_id": F.lit(batch_id).cast("bigint")}
-    )
-    stored.hint("rebalance", "due_slot").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("due_slot", "batch_id").parquet(f"{path}/held")
-    ready = _stored(rows.sparkSession, path, rows.schema).where(
-        F.col("due_slot").between(before // SLOT_US, now // SLOT_US)
-        & (due_us > before)
-        & (due_us <= now)
-    )
-    leaving = rows.where(~waits).unionByName(ready.select(*rows.columns))
-    leaving.withColumn("released_at", F.timestamp_micros(F.lit(now))).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/released/batch_id={batch_id}")
-
-
-def _clock(rows: DataFrame, batch_id: int, path: str, at: str | None) -> tuple[int, int]:
-    """Time of the batch before and of this one, in microseconds."""
-    spark = rows.sparkSession
-    known = _clocks(spark, path)
-    before = max((t for b, t in known.items() if b < batch_id), default=0)
-    if batch_id in known:
-        return before, known[batch_id]
-    if at is None:
-        now = time.time_ns() // 1000
-    else:
-        now = rows.agg(F.max(F.unix_micros(at))).first()[0] or before
-    now = max(before, now)
-    one = spark.range(1).select(F.lit(now).cast("bigint").alias("now_us")).coalesce(1)
-    one.write.mode("overwrite").parquet(f"{path}/clock/batch_id={batch_id}")
-    _drop_below(spark, f"{path}/clock", "batch_id", batch_id - 1)
-    return before, now
-
-
-def _clocks(spark: SparkSession, path: str) -> dict[int, int]:
-    """The stored clocks by batch: the last two."""
-    _folder(spark, f"{path}/clock")
-    rows = spark.read.schema("now_us bigint, batch_id bigint").parquet(f"{path}/clock")
-    return {r.batch_id: r.now_us for r in rows.collect()}
-
-
-def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    _folder(spark, f"{path}/held")
-    full = StructType(list(schema.fields)).add("due_slot", LongType()).add("batch_id", LongType())
-    return spark.read.schema(full).parquet(f"{path}/held")
-
-
 def released(spark: SparkSession, path: str) -> DataFrame:
-    """Rows that have left, with `released_at` and `batch_id`."""
-    return spark.read.parquet(f"{path}/released")
+    """Rows that have left, with `released_at` and `batch_id`; none before the first commit."""
+    return Commits(spark, path).read("released")
 
 
 def held(spark: SparkSession, path: str, schema: StructType, due: str) -> DataFrame:
     """Rows that still wait, in the columns of `schema`."""
-    now = max(_clocks(spark, path).values(), default=0)
-    waiting = (F.unix_micros(due) > now) & (F.col("due_slot") >= now // SLOT_US)
-    return _stored(spark, path, schema).where(waiting).select(*schema.names)
-
-
-def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
-    """File system and path of a folder, made if absent."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    files.mkdirs(where)
-    return files, where
-
-
-def _drop_below(spark: SparkSession, path: str, name: str, bound: int) -> None:
-    """Delete the partitions of `name` that lie below `bound`."""
-    files, where = _folder(spark, path)
-    for entry in files.listStatus(where):
-        key, _, value = entry.getPath().getName().partition("=")
-        if key == name and int(value) < bound:
-            files.delete(entry.getPath(), True)
+    commits = Commits(spark, path)
+    now = commits.state.get("now_us", 0)
+    waiting = commits.read("held", StructType(list(schema.fields)).add(DUE, "long"), now)
+    return waiting.where(F.col(DUE) > now).select(*schema.names)

@@ -13,7 +13,7 @@ from dispatchlake.operators.ratelimit import rate_limit
 from dispatchlake.session import configure_streaming
 from dispatchlake.sources import feeds, sinks
 from dispatchlake.sources.workload import requests, results
-from dispatchlake.streaming import hold, jobs, runs
+from dispatchlake.streaming import commits, hold, jobs, runs
 
 
 @pytest.fixture()
@@ -111,8 +111,7 @@ def test_a_repeated_batch_releases_the_same_rows(spark, place):
     assert rows_of(got.select("tx_id", "batch_id")) == [
         ("a", 0), ("b", 3), ("c", 0), ("d", 2), ("e", 2), ("f", 2), ("g", 3), ("h", 3)
     ]
-    kept = [r.due_slot for r in spark.read.parquet(f"{out}/held").select("due_slot").distinct().collect()]
-    assert min(kept) >= 650 // 600
+    assert commits.Commits(spark, out).segments("held") == []
     assert hold.held(spark, out, first.drop(hold.TICK).schema, "due").count() == 0
 
 
@@ -130,8 +129,7 @@ def test_rows_leave_on_time_while_nothing_arrives(spark, place):
         while "soon" not in gone and time.time() < now + 60:
             time.sleep(1)
             assert query.exception() is None
-            if os.path.exists(out + "/released"):
-                gone = {r.tx_id: r for r in hold.released(spark, out).collect()} if os.listdir(out + "/released") else {}
+            gone = {r.tx_id: r for r in hold.released(spark, out).collect()}
     finally:
         query.stop()
     assert set(gone) == {"soon", "past", "open"}
@@ -139,6 +137,88 @@ def test_rows_leave_on_time_while_nothing_arrives(spark, place):
     assert 0 <= late < 30
 
 
+def numbered(spark, start, n, due_every=7, wait=1000):
+    """Rows with a due time up to `wait` seconds after `start`; every `due_every`-th without."""
+    k = F.col("id")
+    due = F.when(k % due_every != 0, F.timestamp_seconds(start + 1 + k * 37 % wait))
+    rows = spark.range(n).select(
+        (k + start * 1000).alias("tx_id"), due.alias("due"), F.timestamp_seconds(F.lit(start)).alias("at")
+    )
+    return rows.withColumn(hold.TICK, F.lit(False))
+
+
+def files_below(path):
+    return sum(name.endswith(".parquet") for _, _, names in os.walk(path) for name in names)
+
+
+def test_held_files_stay_few_and_rows_leave_once(spark, place):
+    out, all_rows = place("out"), []
+    for batch_id in range(18):
+        rows = numbered(spark, 100 * batch_id, 50)
+        all_rows += [(r.tx_id, r.due) for r in rows.collect()]
+        hold.release(rows, batch_id, out, "due", "at")
+        held = commits.Commits(spark, out)
+        assert len(held.segments("held")) <= 2 * commits.FAN_IN
+        assert len(held.segments("released")) <= 2 * commits.FAN_IN
+    # only live segments and those of the last commit are on disk: four files each at most
+    assert files_below(out + "/held") <= 4 * 3 * commits.FAN_IN
+    gone = hold.released(spark, out).collect()
+    now = 1700
+    due = {t for t, d in all_rows if d is None or d.timestamp() <= now}
+    assert sorted(r.tx_id for r in gone) == sorted(due)
+    for r in gone:
+        arrived = r.tx_id // 1000
+        first = max(arrived, -(-r.due.timestamp() // 100) * 100 if r.due else arrived)
+        assert r.released_at.timestamp() == first and r.batch_id == first // 100
+    left = hold.held(spark, out, numbered(spark, 0, 1).drop(hold.TICK).schema, "due")
+    assert {r.tx_id for r in left.collect()} == {t for t, _ in all_rows} - due
+
+
+def test_files_of_the_passed_time_only_are_opened(spark, place, monkeypatch):
+    out = place("out")
+    hold.release(numbered(spark, 0, 4000, wait=100_000), 0, out, "due", "at")
+    read = commits.Commits(spark, out)
+    schema = numbered(spark, 0, 1).drop(hold.TICK).withColumn(hold.DUE, F.lit(0).cast("long")).schema
+    some = read.read("held", schema, 0, 10_000_000_000)
+    every = read.read("held", schema)
+    assert 0 < len(some.inputFiles()) < len(every.inputFiles())
+
+
+def test_ticks_alone_leave_no_files(spark, place):
+    out = place("out")
+    tick = numbered(spark, 5, 1).withColumn(hold.TICK, F.lit(True))
+    for batch_id in range(6):
+        hold.release(tick, batch_id, out, "due")
+    assert files_below(out) == 0 and hold.released(spark, out).count() == 0
+    assert len(os.listdir(out + "/_commits")) <= 2 * (commits.KEPT_MANIFESTS + 1)  # with checksums
+
+
+def test_an_attempt_that_dies_leaves_nothing(spark, place, monkeypatch):
+    out = place("out")
+    rows = numbered(spark, 0, 40)
+    hold.release(rows, 0, out, "due", "at")
+    before = rows_of(hold.released(spark, out))
+    append_rows, calls = commits.Batch.append, []
+
+    def dies(self, table, *args, **kwargs):
+        if calls:
+            raise RuntimeError("killed between two tables")
+        calls.append(table)
+        return append_rows(self, table, *args, **kwargs)
+
+    monkeypatch.setattr(commits.Batch, "append", dies)
+    with pytest.raises(RuntimeError):
+        hold.release(numbered(spark, 100, 40), 1, out, "due", "at")
+    assert rows_of(hold.released(spark, out)) == before
+    monkeypatch.undo()
+    hold.release(numbered(spark, 100, 40), 1, out, "due", "at")
+    hold.release(numbered(spark, 200, 40), 1, out, "due", "at")  # committed: does nothing
+    got = hold.released(spark, out)
+    assert got.count() == got.select("tx_id").distinct().count()
+    assert got.agg(F.max("tx_id")).first()[0] < 200_000
+    assert len(os.listdir(out + "/released")) == 2  # the dead attempt's folder is gone
+
+
 def test_rate_limit_goes_on_across_batches(spark, sf, place):
     req = requests(spark, sf).withColumn(
         "burst_at", F.timestamp_micros(F.pmod(F.unix_micros("requested_at"), F.lit(60_000_000)))
