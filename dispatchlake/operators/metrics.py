@@ -77,6 +77,44 @@ def minute_metrics(res: DataFrame) -> DataFrame:
     )
 
 
+METRIC_KEYS = ["metric_time", "channel", "send_method_code"]
+
+
+def latency_counts(res: DataFrame) -> DataFrame:
+    """`minute_metrics` in parts that add up: per minute, channel, method and latency
+    the numbers of results. Parts of any split of the results give the same sums."""
+    counts = metric_columns()[:-1]
+    return res.select(
+        bucket_start(F.col("delivered_at"), MINUTE).alias("metric_time"),
+        "channel",
+        txid.method_code(F.col("tx_id")).alias("send_method_code"),
+        "tx_id",
+        "result_code",
+        "retry_count",
+        "elapsed_ms",
+    ).groupBy(*METRIC_KEYS, "elapsed_ms").agg(*counts)
+
+
+def merged_minute_metrics(parts: DataFrame) -> DataFrame:
+    """`minute_metrics` from stored `latency_counts`."""
+    names = ["total_count", "success_count", "fail_count", "retry_count", "dlq_count"]
+    known = F.when(F.col("elapsed_ms").isNotNull(), F.col("total_count"))
+    mean = F.sum(F.col("elapsed_ms") * known) / F.sum(known)
+    p95 = F.percentile("elapsed_ms", 0.95, F.col("total_count"))
+    return (
+        parts.groupBy(*METRIC_KEYS)
+        .agg(*[F.sum(n).alias(n) for n in names], mean.alias("_avg"), p95.alias("_p95"))
+        .withColumns(
+            {
+                "avg_latency_ms": F.round("_avg").cast("int"),
+                "p95_latency_ms": F.round("_p95").cast("int"),
+                "p95_exact": F.round("_p95", 3),
+            }
+        )
+        .drop("_avg", "_p95")
+    )
+
+
 def success_rate(res: DataFrame, width_us: int = HOUR, at: str = "delivered_at") -> DataFrame:
     """Delivered share of all attempts per channel and time bucket."""
     return (

@@ -69,6 +69,33 @@ def rate_limit(
     )
 
 
+def rate_limit_after(
+    df: DataFrame, before: DataFrame, cap: int, at: str, unique: str, key: str = "channel"
+) -> DataFrame:
+    """`rate_limit` of rows that follow earlier sends: `before` holds the last `cap`
+    releases per key (key, `unique`, `at` = their release), see `last_releases`."""
+    rows = df.withColumn("_new", F.lit(1))
+    earlier = before.select(key, unique, at, F.lit(0).alias("_new"))
+    rows = rows.unionByName(earlier, allowMissingColumns=True)
+    limited = rate_limit(rows, cap, at, key, order=["_new", at, unique])
+    return limited.where("_new = 1").drop("_new")
+
+
+def last_releases(
+    limited: DataFrame, before: DataFrame, cap: int, at: str, unique: str, key: str = "channel"
+) -> DataFrame:
+    """The last `cap` releases per key among these rows and `before`."""
+    released = limited.select(key, unique, F.col("release_at").alias(at))
+    latest = Window.partitionBy(key).orderBy(F.desc(at), F.desc(unique))
+    # the bound on the row number is applied before the shuffle too
+    return (
+        released.unionByName(before.select(key, unique, at))
+        .withColumn("_r", F.row_number().over(latest))
+        .where(F.col("_r") <= cap)
+        .drop("_r")
+    )
+
+
 def delayed(df: DataFrame, at: str = "requested_at") -> DataFrame:
     """Per channel: messages, delayed messages and the longest delay."""
     wait = F.unix_micros("release_at") - F.unix_micros(F.col(at))

@@ -262,7 +262,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     runs.rate_limit_stream(
         source, 3, out, scratch_path(spark, "checkpoint-limit"), "burst_at", "event_id"
     ).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(
+    return runs.limited_rows(spark, out).select(
         "event_id", "channel", us("burst_at"), us("release_at")
     )
 

@@ -121,7 +121,9 @@ class Commits:
         serves a table that no batch has written to.
         """
         known = self.manifest["schemas"].get(table)
-        schema = StructType.fromJson(known) if known else schema or StructType()
+        if segments is None and known:
+            schema = StructType.fromJson(known)
+        schema = schema or StructType()
         paths = []
         for segment in self.segments(table) if segments is None else segments:
             if segment["files"] is None:
@@ -134,7 +136,9 @@ class Commits:
             ]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        # below the base path, segments are partitions like the table's own
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}")
+        return reader.parquet(*paths).select(*schema.names)
 
     # --- writing -----------------------------------------------------------------
 
@@ -167,10 +171,10 @@ class Batch:
         for name in _names(spark, f"{path}/{LOG}")[:-KEPT_MANIFESTS]:
             _delete(spark, f"{path}/{LOG}/{name}")
 
-    def append(self, table: str, rows: DataFrame, level: int = 0) -> int:
-        """Write rows of a table; returns their number. No rows leave no folder."""
+    def append(self, table: str, rows: DataFrame, level: int = 0) -> dict | None:
+        """Write rows of a table; returns their segment. No rows leave no folder."""
         layout = self.commits.layouts[table]
-        spark, path = self.commits.spark, f"{table}/{self.id:012d}-{uuid.uuid4().hex[:12]}"
+        spark, path = self.commits.spark, f"{table}/segment={self.id:012d}-{uuid.uuid4().hex[:12]}"
         whole = f"{self.commits.path}/{path}"
         if layout.index:
             # ranges of the index, so that a file covers little of it
@@ -198,12 +202,22 @@ class Batch:
             files, n = [tuple(r)[:3] for r in found], sum(r[3] for r in found)
         else:
             n = stored.count()
-        if n:
-            segment = {"path": path, "level": level, "rows": n, "files": files}
-            self.tables.setdefault(table, []).append(segment)
-        else:
+        if not n:
             _delete(spark, whole)
-        return n
+            return None
+        segment = {"path": path, "level": level, "rows": n, "files": files}
+        self.tables.setdefault(table, []).append(segment)
+        return segment
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """Make these the table's only rows; they may be computed from the old ones."""
+        segment = self.append(table, rows)
+        self.tables[table] = [segment] if segment else []
+
+    def written(self, table: str, segment: dict | None) -> DataFrame:
+        """Rows that this batch has just appended."""
+        schema = StructType.fromJson(self.schemas[table])
+        return self.commits.read(table, schema, segments=[segment] if segment else [])
 
     def drop(self, table: str, upto: int) -> None:
         """Forget files of an indexed table that hold nothing above `upto`."""

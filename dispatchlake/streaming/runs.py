@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
+from pyspark.sql.types import StructType
 
 from dispatchlake.codes import CHANNELS, DISPATCH_FEED
 from dispatchlake.operators.history import latest_status
-from dispatchlake.operators.ratelimit import rate_limit
+from dispatchlake.operators.ratelimit import last_releases, rate_limit_after
 from dispatchlake.operators.routing import route_requests, route_results
-from dispatchlake.session import configure_streaming
+from dispatchlake.session import configure_streaming, scratch_scope
 from dispatchlake.sources.feeds import read_feed
+from dispatchlake.streaming.commits import Batch, Layout, in_one_commit, stored
 from dispatchlake.streaming.hold import TICK, release, with_ticks
 from dispatchlake.streaming.jobs import retry_steps
 
@@ -102,6 +103,9 @@ def current_history(spark: SparkSession, path: str) -> DataFrame:
     return latest_status(spark.read.parquet(path))
 
 
+LIMITED = {"rows": Layout(), "state": Layout()}
+
+
 def rate_limit_stream(
     stream: DataFrame,
     cap: int,
@@ -114,35 +118,24 @@ def rate_limit_stream(
     """Sliding-window limit across micro-batches, exact for channels of any size.
 
     Each batch runs the distributed batch operator. The last `cap` releases per
-    channel are the whole state; they are stored per batch and stand before the
-    next batch's arrivals.
+    channel are the whole state; they stand before the next batch's arrivals and are
+    one commit with its rows. Tables staged on the way are deleted.
     """
-    spark = stream.sparkSession
-    order = ["_new", at, unique]
+    release = StructType([stream.schema[c] for c in ("channel", unique, at)])
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_new", F.lit(1))
-        if batch_id > 0:
-            before = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
-            rows = before.unionByName(rows, allowMissingColumns=True)
-        limited = rate_limit(rows, cap, at, order=order)
-        limited.where("_new = 1").drop("_new").write.mode("overwrite").parquet(
-            f"{path}/rows/batch_id={batch_id}"
-        )
-        released = spark.read.parquet(f"{path}/rows/batch_id={batch_id}").select(
-            "channel", unique, F.col("release_at").alias(at), F.lit(0).alias("_new")
-        )
-        if batch_id > 0:
-            released = released.unionByName(before)
-        latest = Window.partitionBy("channel").orderBy(F.desc(at), unique)
-        state = (
-            released.withColumn("_r", F.row_number().over(latest))
-            .where(F.col("_r") <= cap)
-            .drop("_r")
-        )
-        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+    def step(rows: DataFrame, batch: Batch) -> None:
+        with scratch_scope(rows.sparkSession):
+            before = batch.commits.read("state", release)
+            limited = rate_limit_after(rows, before, cap, at, unique)
+            written = batch.written("rows", batch.append("rows", limited))
+            batch.replace("state", last_releases(written, before, cap, at, unique))
 
-    return for_each(stream, step, checkpoint, every=every)
+    return for_each(stream, in_one_commit(path, LIMITED, step), checkpoint, every=every)
+
+
+def limited_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a `rate_limit_stream` with their `release_at`."""
+    return stored(spark, path, "rows")
 
 
 def hold_until(

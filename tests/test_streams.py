@@ -227,8 +227,11 @@ def test_rate_limit_goes_on_across_batches(spark, sf, place):
     for part in thirds(req, "burst_at"):
         append(part, src)
         runs.rate_limit_stream(stream_of(spark, req.schema, src), 2, out, ck, "burst_at").awaitTermination()
-    got = spark.read.parquet(f"{out}/rows")
-    assert got.select("batch_id").distinct().count() == 3
+    got = runs.limited_rows(spark, out)
+    assert commits.Commits(spark, out).manifest["batch"] == 2
+    assert commits.Commits(spark, out).segments("state")[0]["rows"] <= 2 * len(CHANNELS)
+    shared = os.listdir(spark.conf.get("spark.checkpoint.dir"))
+    assert not [n for n in shared if n.startswith("scratch-")]
     cols = ["tx_id", "channel", "release_at"]
     want = rate_limit(req, 2, "burst_at").select(*cols)
     assert rows_of(got.select(*cols)) == rows_of(want)
