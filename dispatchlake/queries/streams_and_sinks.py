@@ -21,7 +21,7 @@ from dispatchlake.queries.base import ZONE, history, on_hist, on_req, on_res, us
 from dispatchlake.session import configure_streaming, scratch_path
 from dispatchlake.sources import feeds, sinks
 from dispatchlake.sources.workload import folded, requests, results
-from dispatchlake.streaming import hold, jobs, runs
+from dispatchlake.streaming import correlate, hold, jobs, runs
 
 MARK = "9" * 13 + "03" + "366" + "999" + "9" * 14
 
@@ -61,6 +61,13 @@ def _finished(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _correlated(req: DataFrame, res: DataFrame, horizon: str = "1 hour") -> DataFrame:
+    spark = req.sparkSession
+    out, mark = scratch_path(spark, "out-correlate"), scratch_path(spark, "checkpoint-correlate")
+    correlate.correlate_stream(req, res, out, mark, horizon).awaitTermination()
+    return correlate.correlated(spark, out)
+
+
 def _doubled(res: DataFrame) -> DataFrame:
     """Every 50th message arrives twice, as an at-least-once feed would have it."""
     return res.unionByName(res.where(F.col("event_id") % 50 == 7))
@@ -121,9 +128,8 @@ def stream_correlate(spark: SparkSession, sf: str) -> DataFrame:
     first = results(spark, sf).where("retry_count = 0 and event_id % 500 <> 3")
     req = _as_stream(_marked(requests(spark, sf), "requested_at"), "requests")
     res = _as_stream(_marked(first, "delivered_at"), "results")
-    joined = jobs.stream_correlate(req, res, "2 hours")
     return (
-        _finished(joined, "correlate")
+        _correlated(req, res, "2 hours")
         .where(F.col("tx_id") != MARK)
         .select("tx_id", "request_id", us("requested_at"), "result_code", us("delivered_at"), "missing")
     )
@@ -151,7 +157,7 @@ def stream_correlate_all(spark: SparkSession, sf: str) -> DataFrame:
     req = _as_stream(_outlived(asked, "requested_at"), "all-requests")
     res = _as_stream(_outlived(answers, "delivered_at"), "all-results")
     return (
-        _finished(jobs.stream_correlate(req, res), "correlate-all")
+        _correlated(req, res)
         .where(F.col("tx_id") != MARK)
         .select(
             "tx_id",

@@ -7,13 +7,8 @@ counts it.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from dispatchlake.codes import SUCCESS_FLOOR
 from dispatchlake.functions import status, txid
@@ -96,123 +91,6 @@ def stream_dedup(res: DataFrame, delay: str = DELAY, at: str = "delivered_at") -
     return marked.dropDuplicatesWithinWatermark(txid.ATTEMPT).drop(txid.RECORD)
 
 
-CORRELATED = (
-    "tx_id string, request_id string, requested_us long, retry_count int, result_code string, "
-    "status string, delivered_us long, missing boolean, late boolean"
-)
-
-
-def _meet(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests and results of one id: pairs within the horizon, and what stays alone.
-
-    State: requests (requested, closes, request_id, answered) until they close, and
-    results (delivered, retry_count, code, status, matched) until no request can come.
-    """
-    asked, back = pickle.loads(state.get[0]) if state.exists else ([], [])
-    out: list[tuple] = []
-
-    def pair(q: list, r: list) -> None:
-        if q[0] <= r[0] <= q[1]:
-            q[3] = r[4] = True
-            out.append((key[0], q[2], q[0], *r[1:4], r[0], False, False))
-
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            if row.is_request:
-                new = [int(row.us), int(row.closes_us), row.request_id, False]
-                asked.append(new)
-                for r in back:
-                    pair(new, r)
-            else:
-                new = [int(row.us), int(row.retry_count), row.result_code, row.status, False]
-                back.append(new)
-                for q in asked:
-                    pair(q, new)
-    now = state.getCurrentWatermarkMs()
-    for q in asked:
-        if q[1] <= now * 1000 and not q[3]:
-            out.append((key[0], q[2], q[0], None, None, None, None, True, False))
-    for r in back:
-        if r[0] <= now * 1000 and not r[4]:
-            out.append((key[0], None, None, *r[1:4], r[0], False, True))
-    asked = [q for q in asked if q[1] > now * 1000]
-    back = [r for r in back if r[0] > now * 1000]
-    if asked or back:
-        state.update((pickle.dumps((asked, back)),))
-        ends = min([q[1] for q in asked] + [r[0] for r in back])
-        state.setTimeoutTimestamp(max(-(-ends // 1000), now + 1))
-    elif state.exists:
-        state.remove()
-    if out:
-        names = [c.split()[0] for c in CORRELATED.split(", ")]
-        yield pd.DataFrame(out, columns=names, dtype=object)
-
-
-def stream_correlate(
-    req: DataFrame, res: DataFrame, horizon: str = "1 hour", delay: str = DELAY
-) -> DataFrame:
-    """Requests with their results; `missing` when none came within the horizon.
-
-    The horizon counts from the time a request is due, so a message may be scheduled
-    any time ahead. A result for which no request waits (it came after the horizon or
-    before the request, or has none) is a row of its own, `late`, with null request
-    columns. Spark's join cannot do this: it frees results by a bound on the watermark
-    column of the requests, which would have to be both requested and due time.
-    Rows without an id match nothing and leave at once.
-    """
-    closes = F.greatest("requested_at", "scheduled_at") + F.expr(f"interval {horizon}")
-    sent = req.withWatermark("requested_at", delay).select(
-        "tx_id",
-        F.col("requested_at").alias("at"),
-        F.lit(True).alias("is_request"),
-        F.unix_micros("requested_at").alias("us"),
-        F.unix_micros(closes).alias("closes_us"),
-        "request_id",
-        F.lit(None).cast("int").alias("retry_count"),
-        F.lit(None).cast("string").alias("result_code"),
-        F.lit(None).cast("string").alias("status"),
-    )
-    back = res.withWatermark("delivered_at", delay).select(
-        "tx_id",
-        F.col("delivered_at").alias("at"),
-        F.lit(False).alias("is_request"),
-        F.unix_micros("delivered_at").alias("us"),
-        F.lit(None).cast("long").alias("closes_us"),
-        F.lit(None).cast("string").alias("request_id"),
-        F.col("retry_count").cast("int").alias("retry_count"),
-        "result_code",
-        "status",
-    )
-    both = sent.unionByName(back)
-    known = (
-        both.where("tx_id is not null")
-        .groupBy("tx_id")
-        .applyInPandasWithState(_meet, CORRELATED, "packed binary", "append", "EventTimeTimeout")
-    )
-    nobody = both.where("tx_id is null").select(
-        "tx_id",
-        "request_id",
-        F.when(F.col("is_request"), F.col("us")).alias("requested_us"),
-        "retry_count",
-        "result_code",
-        "status",
-        F.when(~F.col("is_request"), F.col("us")).alias("delivered_us"),
-        F.col("is_request").alias("missing"),
-        (~F.col("is_request")).alias("late"),
-    )
-    return known.unionByName(nobody).select(
-        "tx_id",
-        "request_id",
-        F.timestamp_micros("requested_us").alias("requested_at"),
-        "retry_count",
-        "result_code",
-        "status",
-        F.timestamp_micros("delivered_us").alias("delivered_at"),
-        "missing",
-        "late",
-    )
-
-
 RETRY_COLUMNS = [
     "tx_id",
     "channel",

@@ -13,7 +13,7 @@ from dispatchlake.operators.ratelimit import rate_limit
 from dispatchlake.session import configure_streaming
 from dispatchlake.sources import feeds, sinks
 from dispatchlake.sources.workload import requests, results
-from dispatchlake.streaming import commits, hold, jobs, runs
+from dispatchlake.streaming import commits, correlate, hold, jobs, runs
 
 
 @pytest.fixture()
@@ -254,9 +254,9 @@ def test_correlate_flags_missing(spark, sf, place):
     for x, y in zip(thirds(req, "requested_at"), thirds(res, "delivered_at")):
         append(x, a)
         append(y, b)
-    joined = jobs.stream_correlate(stream_of(spark, req.schema, a), stream_of(spark, res.schema, b), "2 hours", "8 days")
-    runs.to_table(joined, out, ck).awaitTermination()
-    got = spark.read.parquet(out)
+    feeds_of = stream_of(spark, req.schema, a), stream_of(spark, res.schema, b)
+    correlate.correlate_stream(*feeds_of, out, ck, "2 hours", "8 days").awaitTermination()
+    got = correlate.correlated(spark, out)
     assert got.where("not missing").count() == res.count()
     early = req.agg(F.max("requested_at")).first()[0] - timedelta(days=9)
     lost = req.join(res, "tx_id", "left_anti").where(F.col("requested_at") < F.lit(early))
@@ -264,16 +264,25 @@ def test_correlate_flags_missing(spark, sf, place):
     assert flagged.count() == lost.count() > 0
 
 
+def tx(letter):
+    return f"170406720000001001001{ord(letter):014d}"
+
+
 def test_correlate_counts_from_the_due_time(spark, place):
-    """Scheduled three days ahead and answered then; late, unknown and missing answers."""
+    """Scheduled three days ahead and answered then; late, unknown and missing answers;
+    copies on both sides, before and after a restart; bad ids."""
     req = spark.sql("""select * from values
+        ('a', 'ra', timestamp'2024-01-01 10:00:00', timestamp'2024-01-04 10:00:00'),
         ('a', 'ra', timestamp'2024-01-01 10:00:00', timestamp'2024-01-04 10:00:00'),
         ('b', 'rb', timestamp'2024-01-01 10:00:00', null),
         ('c', 'rc', timestamp'2024-01-01 10:00:00', timestamp'2024-01-01 12:00:00'),
+        ('X', 'rx', timestamp'2024-01-01 10:00:00', null),
+        ('X', 'rx', timestamp'2024-01-01 10:00:00', null),
         (null, 'rn', timestamp'2024-01-01 10:00:00', null)
         as t(tx_id, request_id, requested_at, scheduled_at)""")
     res = spark.sql("""select *, '10000' as result_code, 'DELIVERED' as status from values
         ('a', 0, timestamp'2024-01-04 10:00:30'), ('a', 1, timestamp'2024-01-04 10:59:00'),
+        ('a', 0, timestamp'2024-01-04 10:00:30'), ('X', 0, timestamp'2024-01-01 10:00:30'),
         ('b', 0, timestamp'2024-01-01 11:30:00'), ('d', 0, timestamp'2024-01-01 11:00:00')
         as t(tx_id, retry_count, delivered_at)""")
     end = "timestamp'2024-01-20 00:00:00'"
@@ -281,26 +290,56 @@ def test_correlate_counts_from_the_due_time(spark, place):
         spark.sql(f"select 'z' as tx_id, 'rz' as request_id, {end} as requested_at, cast(null as timestamp) as scheduled_at"),
         spark.sql(f"select 'z' as tx_id, 0 as retry_count, {end} as delivered_at, '10000' as result_code, 'DELIVERED' as status"),
     )
+    known = F.when(F.col("tx_id") == "X", "X").otherwise(
+        F.concat(F.lit("170406720000001001001"), F.lpad(F.ascii("tx_id").cast("string"), 14, "0"))
+    )
     a, b, out, ck = place("a"), place("b"), place("out"), place("ck")
-    for x, y in ((req, res), marks):
-        append(x, a)
-        append(y, b)
-        joined = jobs.stream_correlate(stream_of(spark, req.schema, a), stream_of(spark, res.schema, b))
-        # stop and start again from the checkpoint
-        runs.to_table(joined, out, ck).awaitTermination()
-    got = spark.read.parquet(out).where("coalesce(tx_id, '') <> 'z'")
+    # requests alone, all results, copies of a request, then the marks: a restart each time
+    nothing = res.limit(0)
+    for x, y in ((req, nothing), (req.limit(0), res), (req.where("tx_id = 'a'"), nothing), marks):
+        append(x.withColumn("tx_id", known), a)
+        append(y.withColumn("tx_id", known), b)
+        feeds_of = stream_of(spark, req.schema, a), stream_of(spark, res.schema, b)
+        correlate.correlate_stream(*feeds_of, out, ck).awaitTermination()
+    got = correlate.correlated(spark, out).where(F.coalesce("tx_id", F.lit("")) != tx("z"))
     assert rows_of(got.select("tx_id", "request_id", "retry_count", "missing", "late")) == sorted(
         [
-            ("a", "ra", 0, False, False),
-            ("a", "ra", 1, False, False),
-            ("b", "rb", None, True, False),
-            ("b", None, 0, False, True),
-            ("c", "rc", None, True, False),
-            ("d", None, 0, False, True),
+            (tx("a"), "ra", 0, False, False),
+            (tx("a"), "ra", 1, False, False),
+            (tx("b"), "rb", None, True, False),
+            (tx("b"), None, 0, False, True),
+            (tx("c"), "rc", None, True, False),
+            (tx("d"), None, 0, False, True),
+            ("X", "rx", None, True, False),
+            ("X", "rx", None, True, False),
+            ("X", None, 0, False, True),
             (None, "rn", None, True, False),
         ],
         key=str,
     )
+    left = commits.Commits(spark, out)
+    assert sum(s["rows"] for t in ("requests", "answered", "results", "matched") for s in left.segments(t)) <= 4
+
+
+def test_copies_of_a_hot_id_do_not_multiply(spark, place):
+    """Half of all rows are copies of one request and of its result."""
+    req = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, tx("a")).otherwise(F.concat(F.lit("170406720000001001001"), F.lpad((F.col("id") + 1000).cast("string"), 14, "0"))).alias("tx_id"),
+        F.lit("r").alias("request_id"),
+        F.lit("2024-01-01 10:00:00").cast("timestamp").alias("requested_at"),
+        F.lit(None).cast("timestamp").alias("scheduled_at"),
+    )
+    res = req.select(
+        "tx_id", F.lit(0).alias("retry_count"), F.lit("2024-01-01 10:00:09").cast("timestamp").alias("delivered_at"),
+        F.lit("10000").alias("result_code"), F.lit("DELIVERED").alias("status"),
+    )
+    append(req, place("a"))
+    append(res, place("b"))
+    feeds_of = stream_of(spark, req.schema, place("a")), stream_of(spark, res.schema, place("b"))
+    correlate.correlate_stream(*feeds_of, place("out"), place("ck")).awaitTermination()
+    got = correlate.correlated(spark, place("out"))
+    assert got.count() == got.select("tx_id").distinct().count() == 2001
+    assert got.where("missing or late").count() == 0
 
 
 def test_one_channel_down_leaves_the_others_running(spark, sf, place):
