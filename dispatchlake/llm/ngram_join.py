@@ -13,7 +13,8 @@ Exact, in steps that each leave less to do:
    list entries read, plus candidates, which l shared shingles make fewer.
 4. Every prefix shingle offers its least private document as a hub; documents
    verified against hubs form components. Only pairs across components are then
-   joined, counted against the smaller l, and verified on the words themselves.
+   joined, block by block of a token's documents, counted against the smaller l, and
+   verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ WORDS = 3
 PERCENT = 90
 MOST_LEVELS = 6
 VERIFY_COST = 20.0
+# documents of a prefix token that meet in one block
+TOKEN_BLOCK = 512
 # counters of the sketch that bounds an overlap
 SKETCH = 128
 
@@ -105,12 +109,25 @@ def shared_counts(docs: DataFrame, words: int, total: int) -> DataFrame:
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, sets, n, number = [], [], 0, 0
 
-        def rows() -> pd.DataFrame:
-            hashes = np.concatenate(sets).view(np.uint64)
+        def send(batch: int, own: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
             block = ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64)
-            own = np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
             high = (hashes >> np.uint64(32)).astype("<u4")
-            return packed.rows_by_block(packed.batch_key(number), own, block, high, blocks)
+            return packed.rows_by_block(batch, own, block, high, blocks)
+
+        def rows() -> Iterator[pd.DataFrame]:
+            key = packed.batch_key(number)
+            hashes = np.concatenate(sets).view(np.uint64)
+            own = np.repeat(np.array(ids, np.int64), [len(s) for s in sets])
+            again = seen_twice(own, hashes)
+            yield send(key, own[~again], hashes[~again])
+            if again.any():
+                # known here already: the documents get their marks, and one entry per
+                # hash tells other batches, so a common shingle costs a row per batch
+                docs, counts, _ = packed.by_doc(own[again], hashes[again])
+                done = [(key % blocks, key, docs, counts, b"", True)]
+                yield pd.DataFrame(done, columns=packed.NAMES)
+                common = np.unique(hashes[again])
+                yield send(packed.WITNESS, np.zeros(len(common), np.int64), common)
 
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
@@ -121,10 +138,10 @@ def shared_counts(docs: DataFrame, words: int, total: int) -> DataFrame:
                 sets.append(own)
                 n += len(own)
                 if n >= packed.MAP_HASHES:
-                    yield rows()
+                    yield from rows()
                     ids, sets, n, number = [], [], 0, number + 1
         if ids:
-            yield rows()
+            yield from rows()
 
     sent = docs.where("doc_id is not null").mapInPandas(pack, packed.ROW)
     counted = packed.marked(sent, blocks, 4, seen_twice, send_hashes=False)
@@ -211,6 +228,90 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
+def _alike(x: dict, y: dict, percent: int) -> np.ndarray:
+    """Pairs (row of x, row of y) that may be linked and whose prefixes count."""
+    smaller = np.minimum(x["level"][:, None], y["level"])
+    common = np.minimum((x["n"] - x["u"])[:, None], y["n"] - y["u"])
+    both = percent * (x["n"][:, None] + y["n"])
+    keep = (100 + percent) * common >= both
+    keep &= x["comp"][:, None] != y["comp"]
+    keep &= np.maximum(x["at"][:, None], y["at"]) <= smaller
+    pairs = np.argwhere(keep)
+    out = []
+    # the sketches of some pairs at a time
+    for k in range(0, len(pairs), 1 << 14):
+        a, b = pairs[k : k + (1 << 14)].T
+        most = np.minimum(x["sketch"][a], y["sketch"][b]).sum(axis=1, dtype=np.int64)
+        out.append(pairs[k : k + (1 << 14)][(100 + percent) * most >= both[a, b]])
+    return np.concatenate(out) if out else pairs
+
+
+def pairs_by_token(lists: DataFrame, percent: int, block: int = TOKEN_BLOCK) -> DataFrame:
+    """a < b and their smaller level l, once per prefix token that they share and count.
+
+    `lists` has one row per document and token: token, rep, n, u, level, at, comp,
+    sketch. The documents of a token are dealt to blocks of about `block`, and a
+    task compares two blocks at a time, so a common token is many small tasks.
+    """
+    counts = lists.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = lists.join(counts, "token").withColumn(
+        "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("*", other).withColumns(
+        {"low": F.least("own", "other"), "high": F.greatest("own", "other")}
+    )
+    key = ["token", "low", "high"]
+    ordered = met.repartition(*key).sortWithinPartitions(*key)
+    numbers = ["rep", "n", "u", "level", "at", "comp", "own"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(group: list[dict]) -> pa.RecordBatch | None:
+            whole = {c: np.concatenate([g[c] for g in group]) for c in (*numbers, "sketch")}
+            if len(whole["rep"]) < 2:
+                return None
+            low, high = group[0]["key"][1:]
+            x = {c: v[whole["own"] == low] for c, v in whole.items()}
+            y = x if low == high else {c: v[whole["own"] == high] for c, v in whole.items()}
+            found = _alike(x, y, percent)
+            if low == high:
+                found = found[found[:, 0] < found[:, 1]]
+            if not len(found):
+                return None
+            a, b = found.T
+            left, right = x["rep"][a], y["rep"][b]
+            smaller = np.minimum(x["level"][a], y["level"][b])
+            columns = [np.minimum(left, right), np.maximum(left, right), smaller]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "l"])
+
+        held: list[dict] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in key], axis=1)
+            if not len(keys):
+                continue
+            starts = np.nonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))[0]
+            columns = {c: batch.column(c).to_numpy().astype(np.int64) for c in numbers}
+            sketch = batch.column("sketch")
+            flat = sketch.flatten().to_numpy().reshape(-1, SKETCH)
+            for k, start in enumerate(starts):
+                end = starts[k + 1] if k + 1 < len(starts) else len(keys)
+                own = tuple(keys[start].tolist())
+                if held and held[0]["key"] != own:
+                    out = compared(held)
+                    if out is not None:
+                        yield out
+                    held = []
+                part = {c: v[start:end] for c, v in columns.items()}
+                held.append({**part, "sketch": flat[start:end], "key": own})
+        if held:
+            out = compared(held)
+            if out is not None:
+                yield out
+
+    rows = ordered.select(*key, *numbers, "sketch")
+    return rows.mapInArrow(run, "a long, b long, l long")
+
+
 def choose_prefixes(
     reps: DataFrame, percent: int, most_levels: int = MOST_LEVELS
 ) -> DataFrame:
@@ -333,23 +434,26 @@ def links(docs: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFr
         ),
         "marked-lists",
     )
+    # what a token's documents can reach at best; who is out of it meets nobody there
+    n, most = F.col("n"), (100 + percent) * (F.col("n") - F.col("u"))
     open_tokens = stage(
         marked.groupBy("token")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .agg(
+            F.min("comp").alias("low"),
+            F.max("comp").alias("high"),
+            F.min("n").alias("least"),
+            F.max(most - percent * n).alias("best"),
+        )
         .where("low < high")
-        .select("token"),
+        .select("token", "least", "best"),
         "open-tokens",
     )
-    live = marked.join(open_tokens, "token", "left_semi").join(known.select("rep", "sketch"), "rep")
-    live = stage(live, "live-lists")
-    x, y = live.alias("x"), live.alias("y")
-    smaller = F.least("x.level", "y.level")
+    possibly = (most - percent * n >= percent * F.col("least")) & (F.col("best") >= percent * n)
+    live = marked.join(open_tokens, "token").where(possibly).drop("least", "best")
+    live = stage(live.join(known.select("rep", "sketch"), "rep"), "live-lists")
     pairs = (
-        x.join(y, col("x.token") == col("y.token"))
-        .where("x.rep < y.rep and x.comp <> y.comp")
-        .where(F.greatest("x.at", "y.at") <= smaller)
-        .where(possible(percent, "x.", "y."))
-        .groupBy(col("x.rep").alias("a"), col("y.rep").alias("b"), smaller.alias("l"))
+        pairs_by_token(live, percent)
+        .groupBy("a", "b", "l")
         .agg(F.count("*").alias("k"))
         .where("k >= l")
         .select("a", "b")

@@ -348,6 +348,68 @@ def test_one_of_each_keeps_other_texts_of_an_id(spark, sf):
     assert got == Counter([*want, (7, None), (7, ""), (None, text("a"))])
 
 
+def test_mix_keeps_rows_that_differ_in_any_column(spark, sf):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, lang, "s", n) for lang, n in (("en", 1), ("de", 1), ("de", 2), (None, 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = Counter(map(tuple, corpus_pipeline.mix_sources(spark, docs, sf).collect()))
+    assert set(mixed) == set(rows) and sum(mixed.values()) == 6
+
+
+def test_stages_on_odd_rows(spark, docs, empty, sf):
+    """Rows in are rows out where a stage promises it; nulls, repeats and no rows at all."""
+    import corpus_pipeline as stages
+
+    own = docs.select(*stages.COLUMNS)
+    for stage in (stages.keep_quality, stages.hide_secrets, stages.mix_sources, stages.pack_sequences):
+        assert stage(spark, empty, sf).count() == 0
+    kept = Counter(r.doc_id for r in stages.keep_quality(spark, docs, sf).collect())
+    assert not kept - Counter(r.doc_id for r in own.collect())
+    hidden = stages.hide_secrets(spark, docs, sf)
+    assert Counter(r.doc_id for r in hidden.collect()) == Counter(r.doc_id for r in own.collect())
+    assert hidden.where("doc_id = 4 and text is null").count() == 1
+    mixed = stages.mix_sources(spark, docs, sf)
+    assert mixed.where("doc_id in (4, 5, 6)").count() == 0
+    assert not set(map(tuple, mixed.collect())) - set(map(tuple, own.collect()))
+    pieces = stages.pack_sequences(spark, docs, sf)
+    assert pieces.where("piece = 0").count() == own.count()
+
+
+def test_template_documents_do_not_link(spark):
+    """Documents of one template that differ in eight words meet, but none is alike."""
+    template = [f"t{k}" for k in range(94)]
+    rows = [(k, " ".join([*template[:50], *(f"d{k}x{j}" for j in range(8)), *template[50:]])) for k in range(700)]
+    rows += [(1000 + k, " ".join([*template, f"end{k % 2}"])) for k in range(20)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id < 1000} == set(range(700))
+    assert {r.component_id for r in got if r.doc_id >= 1000} == {1000}
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_pairs_by_token_equal_all_pairs(spark, block):
+    import numpy as np
+
+    rnd, rows = np.random.default_rng(3), []
+    for rep in range(60):
+        sketch = rnd.integers(0, 3, ngram_join.SKETCH)
+        n = int(sketch.sum())
+        for token in rnd.choice(4, 2, replace=False).tolist():
+            rows.append((token, rep, n, int(rnd.integers(0, 20)), 2, int(rnd.integers(1, 4)), rep % 50, sketch.tolist()))
+    lists = spark.createDataFrame(rows, "token long, rep long, n long, u long, level int, at int, comp long, sketch array<int>")
+    got = Counter((r.a, r.b) for r in ngram_join.pairs_by_token(lists, 45, block).collect())
+    want = Counter()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1] and x[6] != y[6] and max(x[5], y[5]) <= 2:
+                total, both = min(x[2] - x[3], y[2] - y[3]), x[2] + y[2]
+                common = sum(map(min, x[7], y[7]))
+                if 145 * min(total, common) >= 45 * both:
+                    want[x[1], y[1]] += 1
+    assert got == want and len(want) > 10
+
+
 def corpus_pipeline_store(spark, frame, name):
     from dispatchlake.session import stage
 
