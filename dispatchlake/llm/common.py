@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -38,6 +38,23 @@ def small_batches(frame: DataFrame) -> None:
             conf.set(name, str(most))
 
 
+# what Python workers keep between tasks, by the kind of cache
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(kind: str, forget: Callable[[], None]) -> None:
+    """Called by an operator whose cache is empty: drop the caches of other kinds.
+
+    Workers live on from stage to stage, so that without this a pipeline's last
+    stage would hold the caches of all before it.
+    """
+    for other, drop in list(_caches.items()):
+        if other != kind:
+            drop()
+            del _caches[other]
+    _caches[kind] = forget
+
+
 def words_of(text: Column) -> Column:
     """Array of words; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -151,12 +151,13 @@ def mix(
     seed: int = SEED,
     block_rows: int = BLOCK_ROWS,
     fan_in: int = FAN_IN,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of every document of `docs` (doc_id, source, text) in the mix.
 
     Columns: doc_id, source, size (words of the whole text), source_size, target
     (of its source), copies (whole, 0 to `ceiling` rounded up), taken (size times
-    copies), spread (hash of the text). Null and empty texts have size 0 and no
+    copies), spread (hash of text, doc_id and the columns `also`). Null and empty texts have size 0 and no
     copies; a null source is a source of its own; equal rows are rounded apart
     and may swap their copies. The result depends on the rows and `seed`, not on
     their partitions. An empty table gives no rows; other columns are ignored.
@@ -167,7 +168,7 @@ def mix(
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64("text", "doc_id").alias("spread"),
+            F.xxhash64("text", "doc_id", *also).alias("spread"),
         ),
         "sizes",
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.common import small_batches
+from dispatchlake.llm.common import keep_only, small_batches
 from dispatchlake.llm.piece_model import NEVER, SPACE, PieceModel
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -236,6 +236,7 @@ _encoders: dict[str, RoundsEncoder] = {}
 def encoder(path: str) -> RoundsEncoder:
     """The worker's encoder; its bounded cache outlives a task."""
     if path not in _encoders:
+        keep_only("pieces", _encoders.clear)
         _encoders[path] = RoundsEncoder(path)
     return _encoders[path]
 

@@ -16,11 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from dispatchlake.llm.common import keep_only
+
 VOCABULARY = "word_bpe_49k.json"
 # cached words and cached letter runs per Python worker; a full cache keeps its older
 # half, as frequent words are seen first
-CACHE_WORDS = 600_000
-CACHE_CORES = 800_000
+CACHE_WORDS = 400_000
+CACHE_CORES = 400_000
+# characters of the cached words together, and of the longest cached letter run
+CACHE_CHARS = 8_000_000
+CORE_LENGTH = 64
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -54,12 +59,18 @@ class WordEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.filled = 0
+        self.chars = 0
 
     def forget(self) -> None:
         """Keep the older half of the words; codes are in order of first sight."""
-        kept = _Codes()
-        kept.update(islice(self.codes.items(), self.cache_words // 2))
+        kept, chars = _Codes(), 0
+        for word, number in islice(self.codes.items(), self.cache_words // 2):
+            chars += len(word)
+            if chars > CACHE_CHARS // 2:
+                break
+            kept[word] = number
         self.codes, self.filled = kept, int(self.starts[len(kept)])
+        self.chars = sum(map(len, kept))
 
     def _core(self, core: str) -> bytes:
         """Ids of a run of Latin-1 letters: one pre-token, so the merges alone decide."""
@@ -70,7 +81,8 @@ class WordEncoder:
                 self.cores = dict(islice(self.cores.items(), CACHE_CORES // 2))
             mapped = core if core.isascii() else self.bytes.pre_tokenize_str(core)[0][0]
             found = as_bytes([t.id for t in self.tokenizer.model.tokenize(mapped)])
-            self.cores[core] = found
+            if len(core) <= CORE_LENGTH:
+                self.cores[core] = found
         return found
 
     def _learn(self, words: list[str]) -> None:
@@ -108,7 +120,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text; null and empty texts have none."""
-        if len(self.codes) > self.cache_words:
+        if len(self.codes) > self.cache_words or self.chars > CACHE_CHARS:
             self.forget()
         # Arrow cuts at the six ASCII blanks and numbers the distinct words; an empty
         # word, before or after blanks, has no ids
@@ -120,6 +132,7 @@ class WordEncoder:
         codes = known[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         if self.codes.new:
             new, self.codes.new = self.codes.new, []
+            self.chars += sum(map(len, new))
             self._learn(new)
         begin = self.starts[codes]
         lengths = self.starts[codes + 1] - begin
@@ -141,5 +154,6 @@ def default_path() -> str:
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder; its cache outlives a task."""
     if path not in _encoders:
+        keep_only("tokens", _encoders.clear)
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

@@ -28,7 +28,8 @@ def labelled_lines(
 
     Half of the sample for either label, those with the smallest hash of their
     doc_id; never held-out ones. At most SAMPLE_LINES lines of each, spread
-    evenly. Repeated labels of a document count once, as the larger. The ids are
+    evenly. Repeated labels of a document count once, as the larger, and so do rows
+    that repeat a doc_id, as the text of the smallest hash. The ids are
     few enough to broadcast; features, not texts, come to the driver.
     """
     known = (
@@ -49,18 +50,20 @@ def labelled_lines(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc_id, text, quality in frame.itertuples(index=False):
+            for doc_id, text, quality, spread in frame.itertuples(index=False):
                 x, _, _ = passages.encode([text])
                 if len(x) > SAMPLE_LINES:
                     x = x[np.linspace(0, len(x) - 1, SAMPLE_LINES).astype(int)]
-                out.append((int(doc_id), int(quality), x.astype("<f4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "quality", "lines"])
+                out.append((int(doc_id), int(quality), int(spread), x.astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "quality", "spread", "lines"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = (
         own.join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", "quality")
-        .mapInPandas(run, "doc_id long, quality int, lines binary")
+        .select("doc_id", "text", "quality", F.xxhash64("text").alias("spread"))
+        .mapInPandas(run, "doc_id long, quality int, spread long, lines binary")
+        .groupBy("doc_id", "quality")
+        .agg(F.min_by("lines", F.struct("spread", "lines")).alias("lines"))
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["lines"])))

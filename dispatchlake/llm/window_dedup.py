@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import packed
-from dispatchlake.llm.common import byte_words, small_batches
+from dispatchlake.llm.common import byte_words, keep_only, small_batches
 
 WINDOW = 13
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd
-CACHE_WORDS = 250_000
+# cached words and the longest of them, in bytes
+CACHE_WORDS, CACHE_LENGTH = 250_000, 64
 # windows that a map task compares at once before it sends them
 MAP_WINDOWS = 3_000_000
 
@@ -36,9 +37,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """Two independent 64-bit numbers per word, one row for each."""
     if len(_hashes) > CACHE_WORDS:
         _hashes.clear()
+    if not _hashes:
+        keep_only("hashes", _hashes.clear)
+    long = {}
     for word in set(words).difference(_hashes):
-        _hashes[word] = hashlib.blake2b(word, digest_size=16).digest()
-    return np.frombuffer(b"".join(map(_hashes.__getitem__, words)), "<u8").reshape(-1, 2).T
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        (_hashes if len(word) <= CACHE_LENGTH else long)[word] = digest
+    of = _hashes.__getitem__ if not long else lambda w: _hashes.get(w) or long[w]
+    return np.frombuffer(b"".join(map(of, words)), "<u8").reshape(-1, 2).T
 
 
 def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
