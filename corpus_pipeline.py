@@ -25,7 +25,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from labels of `docs` alone."""
+    """Documents that the classifier accepts; it learns from labels of `docs` alone.
+
+    Every row is judged by its own whole text: null and empty texts get a score too,
+    rows that repeat a doc_id and rows without one stay or go one by one. An empty
+    table stays empty.
+    """
     model = attention_quality.train(docs, table(spark, sf_dir, "labels"))
     scored = attention_quality.score_documents(docs.select(*COLUMNS), model)
     return scored.where("predicted = 1").select(*COLUMNS)
@@ -55,7 +60,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by a mark; n_chars follows the text."""
+    """All documents, every secret replaced by a mark; n_chars follows the text.
+
+    Rows stay as many as they were, repeated ids and null ids too. Null texts stay
+    null and empty ones empty; texts are searched whole, of any length.
+    """
     clean = secret_markov.redact(secret_markov.find_secrets(docs.select(*COLUMNS)))
     n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long"))
     return clean.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*COLUMNS)
@@ -64,12 +73,15 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none to two times.
 
-    Rows equal in doc_id, source and text are copies of one another: the mix
-    rounds each, and one of them stands for the sum.
+    Rows equal in all columns are copies of one another: the mix rounds each, and
+    one of them stands for the sum. Rows that repeat a doc_id with anything else are
+    rows of their own. Null and empty texts have no words and are not taken; a null
+    source is a source. Texts are counted and kept whole; an empty table stays empty.
     """
     key = ["doc_id", "source", "spread"]
-    copies = pivotal_mix.mix(docs).groupBy(*key).agg(F.sum("copies").cast("int").alias("taken"))
-    marked = docs.select(*COLUMNS, F.xxhash64("text", "doc_id").alias("spread"))
+    rest = ("lang", "n_chars")
+    copies = pivotal_mix.mix(docs, also=rest).groupBy(*key).agg(F.sum("copies").cast("int").alias("taken"))
+    marked = docs.select(*COLUMNS, F.xxhash64("text", "doc_id", *rest).alias("spread"))
     marked = marked.dropDuplicates(key)
     same = [marked[c].eqNullSafe(copies[c]) for c in key]
     joined = marked.join(copies.where("taken > 0"), same)
@@ -79,7 +91,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and place."""
+    """Every piece of every document with its sequence and place.
+
+    Null and empty texts are one piece, the end id; each row that repeats a doc_id
+    is a document. Only texts over a sequence are cut, into full pieces and a rest.
+    """
     return bin_completion.pack(docs)
 
 
