@@ -84,10 +84,17 @@ def apply_permissions(
     )
 
 
+def _first_copy(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows that share `keys` the first by `order`, so that reruns keep the same one."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
 def correlate(req: DataFrame, res: DataFrame) -> DataFrame:
-    """Each result with the request it belongs to (by id)."""
+    """Each result with the first request of its id."""
     sent = req.select("tx_id", "request_id", "scheduled_at", "requested_at", "meta", "body")
-    return res.join(sent.dropDuplicates(["tx_id"]), "tx_id")
+    return res.join(_first_copy(sent, ["tx_id"], ["requested_at", "request_id"]), "tx_id")
 
 
 def missing_results(req: DataFrame, res: DataFrame) -> DataFrame:
@@ -114,15 +121,18 @@ def fallback_chain(res: DataFrame) -> DataFrame:
         F.col("retry_count").alias("rcs_attempt"),
         (F.col("retry_count") + 1).alias("_next"),
         F.col("delivered_at").alias("rcs_delivered_at"),
-    ).dropDuplicates(["tx_id", "_next"])
+    )
     later = res.where(F.col("channel") == "SMS").select(
         "tx_id",
         F.col("retry_count").alias("_next"),
         F.col("result_code").alias("sms_code"),
         F.col("status").alias("sms_status"),
         F.col("dispatched_at").alias("sms_dispatched_at"),
-    ).dropDuplicates(["tx_id", "_next"])
-    return first.join(later, ["tx_id", "_next"], "left").drop("_next")
+    )
+    keys = ["tx_id", "_next"]
+    first = _first_copy(first, keys, ["rcs_delivered_at", "rcs_attempt"])
+    later = _first_copy(later, keys, ["sms_dispatched_at", "sms_code"])
+    return first.join(later, keys, "left").drop("_next")
 
 
 def due_times(req: DataFrame) -> DataFrame:

@@ -130,3 +130,14 @@ def test_retry_messages_of_all_attempts(spark, sf):
     )
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plan.collect()))
     assert {r.retry_count for r in got.collect()} == {0, 1, 2}
+
+
+def test_the_first_copy_of_a_request_counts(spark):
+    copies = spark.sql("""select * from values
+        ('t', 'r2', null, timestamp'2024-01-01 10:00:02', null, 'b2'),
+        ('t', 'r1', null, timestamp'2024-01-01 10:00:01', null, 'b1'),
+        ('t', 'r3', null, timestamp'2024-01-01 10:00:03', null, 'b3')
+        as v(tx_id, request_id, scheduled_at, requested_at, meta, body)""")
+    results = spark.sql("select 't' as tx_id, 0 as retry_count")
+    for frame in (copies, copies.orderBy("request_id"), copies.repartition(3)):
+        assert [r.request_id for r in joins.correlate(frame, results).collect()] == ["r1"]
