@@ -27,18 +27,18 @@ def kafka_read_options(
     return options
 
 
-def kafka_write_options(servers: str) -> dict[str, str]:
-    """Producer settings of the service; the sink is at-least-once, so readers de-duplicate."""
-    return {
+def kafka_write_options(servers: str, extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Acknowledged by all replicas, compressed, idempotent; `extra` adds or replaces options.
+
+    The sink is at-least-once, so readers de-duplicate.
+    """
+    options = {
         "kafka.bootstrap.servers": servers,
         "kafka.acks": "all",
-        "kafka.retries": "3",
-        "kafka.retry.backoff.ms": "300",
-        "kafka.linger.ms": "5",
-        "kafka.batch.size": "16384",
         "kafka.compression.type": "snappy",
         "kafka.enable.idempotence": "true",
     }
+    return options | (extra or {})
 
 
 def read_feed(
@@ -110,12 +110,18 @@ def to_feed(df: DataFrame, feed: Column | str, at: Column | None = None) -> Data
 
 
 def write_feed(
-    records: DataFrame, location: str | None = None, servers: str | None = None
+    records: DataFrame,
+    location: str | None = None,
+    servers: str | None = None,
+    options: dict[str, str] | None = None,
 ) -> None:
-    """Append feed records: one write, whatever the number of topics."""
+    """Append feed records: one write, whatever the number of topics.
+
+    `options` go to the broker's producer.
+    """
     if servers:
         records.select("key", "value", "topic").write.format("kafka").options(
-            **kafka_write_options(servers)
+            **kafka_write_options(servers, options)
         ).save()
     else:
         records.write.mode("append").partitionBy("topic").parquet(location)

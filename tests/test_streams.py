@@ -368,3 +368,4 @@ def test_broker_options():
     assert read["minPartitions"] == "12"
     write = feeds.kafka_write_options("broker:9092")
     assert write["kafka.acks"] == "all" and write["kafka.enable.idempotence"] == "true"
+    assert feeds.kafka_write_options("b", {"kafka.linger.ms": "9"})["kafka.linger.ms"] == "9"
