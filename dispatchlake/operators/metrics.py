@@ -20,6 +20,7 @@ from dispatchlake.codes import (
 from dispatchlake.functions import status, txid
 from dispatchlake.functions.text import number_range
 from dispatchlake.functions.times import (
+    DAY,
     HOUR,
     MINUTE,
     SECOND,
@@ -414,6 +415,12 @@ def campaign_report(hist: DataFrame) -> DataFrame:
     )
 
 
+def _sum_before(name: str, keys: list[str], order: str) -> Column:
+    """Sum of `name` over the earlier rows of `keys`; 0 for the first."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(earlier), F.lit(0))
+
+
 def sliding_success(
     res: DataFrame, window_us: int = MINUTE, at: str = "delivered_at", block_us: int = 10 * SECOND
 ) -> DataFrame:
@@ -422,8 +429,9 @@ def sliding_success(
     A result counts from its own time until `window_us` later, so the window
     total is a running sum of entries minus exits. Entries and exits are summed
     per microsecond, then run inside short time blocks on top of the block's
-    opening balance. A busy channel is spread over its blocks, and a burst at
-    one instant is one row.
+    opening balance, which is the sum of the day's earlier blocks and of the
+    earlier days. A busy channel is spread over its blocks, its blocks over its
+    days, and a burst at one instant is one row. `block_us` divides a day.
     """
     us = F.unix_micros(F.col(at))
     ok = F.when(status.is_success(code()), 1).otherwise(0)
@@ -437,18 +445,20 @@ def sliding_success(
         .agg(F.sum("s.n").alias("n"), F.sum("s.ok").alias("ok"))
         .withColumn("block", F.floor(F.col("us") / block_us))
     )
-    before = (
-        Window.partitionBy("channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    day = F.floor(F.col("block") * block_us / DAY).alias("day")
+    blocks = steps.groupBy("channel", day, "block").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    days = blocks.groupBy("channel", "day").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    days = days.select(
+        "channel",
+        "day",
+        _sum_before("n", ["channel"], "day").alias("n_days"),
+        _sum_before("ok", ["channel"], "day").alias("ok_days"),
     )
-    opening = (
-        steps.groupBy("channel", "block")
-        .agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
-        .select(
-            "channel",
-            "block",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-            F.coalesce(F.sum("ok").over(before), F.lit(0)).alias("ok0"),
-        )
+    opening = blocks.join(days, ["channel", "day"]).select(
+        "channel",
+        "block",
+        (_sum_before("n", ["channel", "day"], "block") + F.col("n_days")).alias("n0"),
+        (_sum_before("ok", ["channel", "day"], "block") + F.col("ok_days")).alias("ok0"),
     )
     inside = Window.partitionBy("channel", "block").orderBy("us")
     running = (
@@ -474,22 +484,47 @@ def burst_backlog(req: DataFrame, capacity: int, at: str = "requested_at") -> Da
 
     backlog = S - min(S, lowest earlier S), with S = arrivals so far minus
     capacity so far. An idle second only lowers S, so the lowest value before a
-    busy second is the one just before it. Works on one row per channel and
-    second, whatever the traffic.
+    busy second is the one just before it.
+
+    One row per channel and second, whatever the traffic. Sum and minimum run
+    inside each day; a day's own sum and minimum are one row, and only those
+    rows run over the whole channel.
     """
-    seconds = per_second(req, at).withColumn("s", F.unix_seconds("second"))
-    channel = Window.partitionBy("channel")
-    so_far = channel.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = F.sum("n").over(so_far) - capacity * (F.col("s") - F.min("s").over(channel) + 1)
-    return (
-        seconds.withColumn("level", level)
-        .withColumn("lowest", F.min(F.col("level") - F.col("n") + capacity).over(so_far))
-        .select(
-            "channel",
-            "second",
-            F.col("n").alias("arrived"),
-            (F.col("level") - F.least("level", "lowest")).alias("backlog"),
-        )
+    seconds = (
+        per_second(req, at)
+        .withColumn("s", F.unix_seconds("second"))
+        .withColumn("day", F.floor(F.col("s") / (DAY // SECOND)))
+    )
+    so_far = (
+        Window.partitionBy("channel", "day")
+        .orderBy("s")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    # the level before a second, and the lowest so far, as if the day were the first
+    inside = seconds.withColumn(
+        "before", F.sum("n").over(so_far) - F.col("n") - capacity * F.col("s")
+    ).withColumn("lowest", F.min("before").over(so_far))
+    days = (
+        inside.groupBy("channel", "day")
+        .agg(F.sum("n").alias("n"), F.min("before").alias("lowest"))
+        .withColumn("carried", _sum_before("n", ["channel"], "day"))
+    )
+    past = Window.partitionBy("channel").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(
+        F.col("channel").alias("_channel"),
+        F.col("day").alias("_day"),
+        "carried",
+        F.min(F.col("carried") + F.col("lowest")).over(past).alias("past"),
+    )
+    lowest = F.least(F.col("carried") + F.col("lowest"), F.col("past"))
+    level = F.col("carried") + F.col("before") + F.col("n") - capacity
+    # null channels keep their rows
+    meet = F.col("channel").eqNullSafe(F.col("_channel")) & F.col("day").eqNullSafe(F.col("_day"))
+    return inside.join(days, meet).select(
+        "channel",
+        "second",
+        F.col("n").alias("arrived"),
+        F.greatest(level - lowest, F.lit(0)).alias("backlog"),
     )
 
 

@@ -1,6 +1,7 @@
 """Brute-force checks of the block-wise operators, with hot keys."""
 
 import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
@@ -96,3 +97,38 @@ def test_backlog_equals_loop(spark):
     assert {k.replace(tzinfo=None): v for k, v in got.items()} == want
     total = metrics.burst_check(df, 6).first()
     assert total.total == sum(arrivals.values()) and total.peak_backlog == max(want.values())
+
+
+def test_backlog_and_success_cross_midnight(spark):
+    """A backlog and a minute that begin on one day go on in the next, also over idle days."""
+    start = 3 * 86_400 - 40
+    seconds = [start + i // 9 for i in range(720)] + [start + 300 + 3 * 86_400] * 50
+    rows = [(f"t{i}", ["SMS", None][i % 9 == 8], s * 1_000_000 + i) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "tx_id string, channel string, us long").select(
+        "tx_id", "channel", F.timestamp_micros("us").alias("requested_at"), F.lit("10000").alias("result_code")
+    )
+    for channel in ("SMS", None):
+        arrivals = defaultdict(int)
+        for _, c, us in rows:
+            if c == channel:
+                arrivals[us // 1_000_000] += 1
+        waiting, want = 0, {}
+        for s in range(min(arrivals), max(arrivals) + 1):
+            waiting = max(0, waiting + arrivals[s] - 3)
+            if arrivals[s]:
+                want[s] = waiting
+        backlog = metrics.burst_backlog(df, 3).where(F.col("channel").eqNullSafe(channel))
+        got = {r.s: r.backlog for r in backlog.withColumn("s", F.unix_seconds("second")).collect()}
+        assert got == want
+    sms = [r for r in rows if r[1]]
+    got = {r.tx_id: r.window_total for r in metrics.sliding_success(df, at="requested_at").collect()}
+    assert got == {t: sum(us - 60_000_000 <= u <= us for _, _, u in sms) for t, _, us in sms}
+
+
+def test_scans_run_inside_days(spark):
+    """Windows over a whole channel see one row per day."""
+    _, df = traffic(spark, 50, 100, 3)
+    for out in (metrics.burst_backlog(df, 3), metrics.sliding_success(df, at="requested_at")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        alone = [w for w in plan.splitlines() if "Window [" in w and re.search(r"\], \[channel#\d+\], \[", w)]
+        assert alone and all(re.search(r"\[day#\d+L? ASC", w) for w in alone)
