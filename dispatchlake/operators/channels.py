@@ -25,7 +25,8 @@ class ChannelSpec:
 
     `warnings` maps a flag to the condition that raises it (the message is
     still sent); `failures` maps a result code to (condition, detail text) and
-    stops the message. `cap` is the sends per second, for `rate_limit`.
+    stops the message. `cap` is the sends per second (none: the job's own), see
+    `cap_of`; `latency_bounds_ms` are the bounds of its histogram, see `latency_bounds`.
     """
 
     name: str
@@ -87,6 +88,20 @@ def default_specs() -> list[ChannelSpec]:
     ]
 
 
+def cap_of(channel: Column, specs: list[ChannelSpec], default: int | None = None) -> Column:
+    """Sends per second of a row's channel: its spec's `cap`, else `default` (null: no limit)."""
+    cap = F.lit(default).cast("bigint")
+    for spec in specs:
+        if spec.cap is not None:
+            cap = F.when(channel == spec.name, spec.cap).otherwise(cap)
+    return cap
+
+
+def latency_bounds(specs: list[ChannelSpec]) -> dict[str, list[int]]:
+    """Histogram bounds by channel, for `latency_histogram`; channels without bounds are left out."""
+    return {s.name: s.latency_bounds_ms for s in specs if s.latency_bounds_ms}
+
+
 def apply_channels(df: DataFrame, specs: list[ChannelSpec]) -> DataFrame:
     """Add `channel_known`, `warnings`, `fail_code` and `fail_detail`."""
     channel = F.col("channel")

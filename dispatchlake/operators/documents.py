@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from dispatchlake.codes import BUSINESS_ZONE, HEAVY_SENDS
 from dispatchlake.functions import txid
 from dispatchlake.functions.times import local, year_month
-from dispatchlake.operators.ranking import ranked, same
-from dispatchlake.session import stage
+from dispatchlake.operators.ranking import ranked
 
 MAX_SENDS = 10_000
 ORDER = ["requested_at", "tx_id", "retry_count"]
@@ -44,39 +43,21 @@ def send_struct() -> Column:
 def _collect(rows: DataFrame, keys: list[str], max_sends: int) -> DataFrame:
     """Group rows into arrays of at most `max_sends`, in send order.
 
-    Keys within the bound are collected directly. Only heavier keys, found by
-    a counting pass over the key columns, pay for the exact rank that cuts them
-    into parts. The list of heavy keys is stored, so its true size decides how
-    it is joined, and without any the pass ends there.
+    Every row has its exact rank inside its key from one range shuffle, and the
+    rank names its part; a key of any size takes the same way. The key's total
+    comes with the block offsets, so nothing is counted a second time.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("total_count"))
-    big = stage(sizes.where(F.col("total_count") > max_sends), "big-groups")
-    any_big = not big.isEmpty()
-    small_rows = rows.join(big, same(rows, big, keys), "left_anti") if any_big else rows
-    sends = F.array_sort(F.collect_list(send_struct())).alias("sends")
-    updated = F.max("delivered_at").alias("updated_at")
-    whole = (
-        small_rows.groupBy(*keys)
-        .agg(sends, updated)
-        .select(
-            *keys,
-            F.lit(0).cast("bigint").alias("part"),
-            F.size("sends").cast("bigint").alias("total_count"),
-            "sends",
-            "updated_at",
-        )
-    )
-    if not any_big:
-        return whole
-    big_rows = rows.join(big, same(rows, big, keys)).select(*[rows[c] for c in rows.columns], "total_count")
-    parts = (
-        ranked(big_rows, keys, ORDER, "_rank")
-        .withColumn("part", F.floor(F.col("_rank") / max_sends).cast("bigint"))
+    ranks = ranked(rows, keys, ORDER, "_rank", total="total_count")
+    return (
+        ranks.withColumn("part", F.floor(F.col("_rank") / max_sends).cast("bigint"))
         .groupBy(*keys, "part")
-        .agg(F.first("total_count").alias("total_count"), sends, updated)
+        .agg(
+            F.first("total_count").alias("total_count"),
+            F.array_sort(F.collect_list(send_struct())).alias("sends"),
+            F.max("delivered_at").alias("updated_at"),
+        )
         .select(*keys, "part", "total_count", "sends", "updated_at")
     )
-    return whole.unionByName(parts)
 
 
 def customer_month_docs(

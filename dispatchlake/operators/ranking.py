@@ -39,7 +39,7 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def block_offsets(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and block: the key's first place, and its rows in earlier blocks.
+    """Per key and block: the key's first place, its rows in earlier blocks and in all.
 
     Stored, so that its true size decides between a broadcast and a shuffled
     join. It has at most one row per block plus one per key.
@@ -51,24 +51,37 @@ def block_offsets(blocks: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("_n"), F.min("_pos").alias("_first")
     )
     offsets = counts.select(
-        *keys, "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *keys,
+        "_block",
+        "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
     )
     return stage(offsets, "offsets")
 
 
-def rank_in_blocks(blocks: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Add the 0-based rank `out` inside each key to rows of `ordered_blocks`."""
+def rank_in_blocks(
+    blocks: DataFrame, keys: list[str], out: str, total: str | None = None
+) -> DataFrame:
+    """Add the 0-based rank `out` inside each key to rows of `ordered_blocks`.
+
+    With `total`, also the number of rows of the key.
+    """
     offsets = block_offsets(blocks, keys)
     rank = F.col("_before") + F.col("_pos") - F.col("_first")
     return blocks.join(offsets, same(blocks, offsets, [*keys, "_block"])).select(
-        *[blocks[c] for c in blocks.columns if c != "_pos"], rank.alias(out)
+        *[blocks[c] for c in blocks.columns if c != "_pos"],
+        rank.alias(out),
+        *([F.col("_total").alias(total)] if total else []),
     )
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def ranked(
+    df: DataFrame, keys: list[str], order: list[str], out: str, total: str | None = None
+) -> DataFrame:
     """0-based rank of every row inside `keys`, ordered by `order` columns.
 
     `order` must be unique inside a key (de-duplicate at-least-once feeds
     first). No task holds a whole group, so the group size does not matter.
     """
-    return rank_in_blocks(ordered_blocks(df, keys, order), keys, out).drop("_block")
+    return rank_in_blocks(ordered_blocks(df, keys, order), keys, out, total).drop("_block")

@@ -70,7 +70,7 @@ def rate_limit(
 
 
 def rate_limit_after(
-    df: DataFrame, before: DataFrame, cap: int, at: str, unique: str, key: str = "channel"
+    df: DataFrame, before: DataFrame, cap: Column | int, at: str, unique: str, key: str = "channel"
 ) -> DataFrame:
     """`rate_limit` of rows that follow earlier sends: `before` holds the last `cap`
     releases per key (key, `unique`, `at` = their release), see `last_releases`."""
@@ -82,18 +82,30 @@ def rate_limit_after(
 
 
 def last_releases(
-    limited: DataFrame, before: DataFrame, cap: int, at: str, unique: str, key: str = "channel"
+    limited: DataFrame,
+    before: DataFrame,
+    cap: Column | int,
+    at: str,
+    unique: str,
+    key: str = "channel",
+    most: int | None = None,
 ) -> DataFrame:
-    """The last `cap` releases per key among these rows and `before`."""
+    """The last `cap` releases per key among these rows and `before`.
+
+    Keys without a cap (null) keep none. With a `cap` column, `most` is its largest
+    value: a number bounds the rows before the shuffle too.
+    """
     released = limited.select(key, unique, F.col("release_at").alias(at))
     latest = Window.partitionBy(key).orderBy(F.desc(at), F.desc(unique))
-    # the bound on the row number is applied before the shuffle too
-    return (
+    most = cap if isinstance(cap, int) else most
+    numbered = (
         released.unionByName(before.select(key, unique, at))
         .withColumn("_r", F.row_number().over(latest))
-        .where(F.col("_r") <= cap)
-        .drop("_r")
     )
+    if most is not None:
+        numbered = numbered.where(F.col("_r") <= most)
+    bound = F.lit(cap) if isinstance(cap, int) else cap
+    return numbered.where(F.col("_r") <= bound).drop("_r")
 
 
 def delayed(df: DataFrame, at: str = "requested_at") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dispatchlake.codes import BUSINESS_ZONE
 from dispatchlake.functions import txid
 from dispatchlake.functions.text import address_key
-from dispatchlake.operators.channels import ChannelSpec, apply_channels, default_specs
+from dispatchlake.operators.channels import ChannelSpec, apply_channels, cap_of, default_specs
 from dispatchlake.operators.intake import check_enums
 from dispatchlake.operators.joins import apply_permissions, resolve_customer, sender_register
 from dispatchlake.operators.ratelimit import rate_limit
@@ -71,14 +71,19 @@ def screen_requests(
 
 
 def dispatch_requests(
-    screened: DataFrame, cap: int, at: str = "requested_at"
+    screened: DataFrame,
+    cap: int | None,
+    at: str = "requested_at",
+    specs: list[ChannelSpec] | None = None,
 ) -> DataFrame:
     """Choose the channel of the accepted requests and pace them.
 
     Adds `send_channel`, `release_at` and the dispatch `topic`. A rate limit
-    applies to the channel a message really leaves on.
+    applies to the channel a message really leaves on: its spec's `cap`, or
+    `cap` for channels that name none.
     """
     accepted = screened.where("refuse_reason is null").drop(*ADDED)
     chosen = select_channel(accepted, code=None)
-    paced = rate_limit(chosen, cap, at, key="send_channel")
+    pace = cap_of(F.col("send_channel"), specs or default_specs(), cap)
+    paced = rate_limit(chosen, pace, at, key="send_channel")
     return with_dispatch_feed(paced, "send_channel")

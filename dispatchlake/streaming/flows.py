@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from dispatchlake import schemas
 from dispatchlake.codes import BUSINESS_ZONE, DLQ_FEED, RETRY_FEED
 from dispatchlake.functions import txid
-from dispatchlake.operators.channels import ChannelSpec, format_for_channel
+from dispatchlake.operators.channels import ChannelSpec, cap_of, default_specs, format_for_channel
 from dispatchlake.operators.history import history_rows
 from dispatchlake.operators.intake import attach_trace, parse_requests, parse_results
 from dispatchlake.operators.metrics import latency_counts, merged_minute_metrics
@@ -77,7 +77,7 @@ def dispatch_stream(
     optout: DataFrame,
     permissions: DataFrame,
     contacts: DataFrame,
-    cap: int,
+    cap: int | None,
     path: str,
     checkpoint: str,
     arrival: Column | None = None,
@@ -99,6 +99,9 @@ def dispatch_stream(
     at = "_at"
     release = StructType().add("send_channel", "string").add("_unique", "string").add(at, "timestamp")
     moment = F.col("requested_at") if arrival is None else arrival
+    rules = specs or default_specs()
+    caps = [c for c in [cap, *(s.cap for s in rules)] if c is not None]
+    most = max(caps, default=0)
 
     def step(rows: DataFrame, batch: Batch) -> None:
         with scratch_scope(rows.sparkSession):
@@ -127,10 +130,12 @@ def dispatch_stream(
                 {at: moment, "_unique": F.concat_ws("#", "tx_id", F.lpad(number, 19, "0"))}
             )
             before = batch.commits.read("releases", release)
-            paced = rate_limit_after(keyed, before, cap, at, "_unique", "send_channel")
+            pace = cap_of(F.col("send_channel"), rules, cap)
+            paced = rate_limit_after(keyed, before, pace, at, "_unique", "send_channel")
             segment = batch.append("requests", paced.withColumn(ID_DAY, id_day(F.col("tx_id"))))
             sent = batch.written("requests", segment)
-            batch.replace("releases", last_releases(sent, before, cap, at, "_unique", "send_channel"))
+            last = last_releases(sent, before, pace, at, "_unique", "send_channel", most)
+            batch.replace("releases", last)
             formatted = format_for_channel(
                 sent.withColumn("channel", F.col("send_channel")).drop(at, "_unique", ID_DAY)
             )

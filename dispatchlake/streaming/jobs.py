@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from dispatchlake.codes import SUCCESS_FLOOR
 from dispatchlake.functions import status, txid
-from dispatchlake.operators.metrics import metric_columns
+from dispatchlake.operators.metrics import latency_bin, metric_columns
 from dispatchlake.operators.routing import classify_failure, plan_retries
 
 DELAY = "10 minutes"
 
 
 def stream_minute_metrics(res: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Closed delivery minutes, with the columns of `minute_metrics` (append mode)."""
+    """Closed delivery minutes, with the columns of `minute_metrics` (append mode).
+
+    The 95th percentile runs over `latency_bin`s, so that the state of a minute
+    is bounded: exact below 2048 ms, within 0.05 % above.
+    """
     minute = F.window("delivered_at", "1 minute")
     return (
         res.withWatermark("delivered_at", delay)
@@ -28,7 +32,7 @@ def stream_minute_metrics(res: DataFrame, delay: str = DELAY) -> DataFrame:
             "channel",
             txid.method_code(F.col("tx_id")).alias("send_method_code"),
         )
-        .agg(*metric_columns(), F.percentile("elapsed_ms", 0.95).alias("_p95"))
+        .agg(*metric_columns(), F.percentile(latency_bin(F.col("elapsed_ms")), 0.95).alias("_p95"))
         .select(
             F.col("w.start").alias("metric_time"),
             "channel",
