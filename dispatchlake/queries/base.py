@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.operators.history import history_rows
+from dispatchlake.session import scratch_path, stage
+from dispatchlake.sources.lookups import add_messages
 from dispatchlake.sources.workload import requests, results
 
 ZONE = "UTC"  # the derived workload's times are already local
@@ -95,5 +97,24 @@ def us(name: str, out: str | None = None) -> Column:
     return F.unix_micros(name).alias(out or name.replace("_at", "_us"))
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def message_store(spark: SparkSession, sf_dir: str) -> str:
+    """The history in the look-up layouts, as a service keeps it: loaded once per session.
+
+    Three batches; the last repeats part of the first, as a feed does.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        path = scratch_path(spark, "messages")
+        rows = stage(history(spark, sf_dir), "history")
+        part = F.pmod(F.xxhash64("tx_id"), F.lit(4))
+        for i, chosen in enumerate((part < 2, part >= 2, part == 1)):
+            add_messages(rows.where(chosen), path, i)
+        _stores[key] = path
+    return _stores[key]
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_rows(requests(spark, sf_dir), results(spark, sf_dir))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispatchlake.operators import documents, history as hist_ops, metrics, reconcile
-from dispatchlake.queries.base import ZONE, history, on_hist, on_res, us
+from dispatchlake.queries.base import ZONE, history, message_store, on_hist, on_res, us
 from dispatchlake.session import stage
+from dispatchlake.sources import lookups
 from dispatchlake.sources.workload import requests, results
 
 
@@ -51,7 +52,7 @@ def _one_tx(spark: SparkSession, sf: str) -> str:
 
 
 def history_by_tx(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hist_ops.history_by_tx(history(spark, sf), _one_tx(spark, sf))
+    rows = lookups.by_tx(spark, message_store(spark, sf), _one_tx(spark, sf))
     return rows.select(
         "tx_id", "retry_count", "channel", "status", "result_code", us("dispatched_at"), us("delivered_at")
     )
@@ -62,7 +63,7 @@ select tx_id, retry_count::smallint as retry_count, channel, status, result_code
 
 
 def history_by_receiver(spark: SparkSession, sf: str) -> DataFrame:
-    return hist_ops.history_by_receiver(history(spark, sf), "01000000042", 20).select(
+    return lookups.by_receiver(spark, message_store(spark, sf), "01000000042", 20).select(
         "tx_id", "retry_count", "channel", "status", us("requested_at")
     )
 
@@ -73,7 +74,7 @@ order by requested_us desc, tx_id, retry_count desc limit 20""")
 
 
 def retry_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hist_ops.retry_candidates(history(spark, sf), "RETRYING", "FAX")
+    rows = lookups.in_status(spark, message_store(spark, sf), "RETRYING", "FAX")
     return rows.select("tx_id", "retry_count", "result_code", us("delivered_at"))
 
 
@@ -165,7 +166,8 @@ from parts group by customer_id, year_month, week, part""")
 
 
 def customer_history(spark: SparkSession, sf: str) -> DataFrame:
-    rows = documents.customer_history(_docs(spark, sf), "CUS0000000042", "202401", "202402")
+    store = message_store(spark, sf)
+    rows = lookups.customer_history(spark, store, "CUS0000000042", "202401", "202402", ZONE)
     return rows.select(
         "customer_id", "year_month", "txId", "retryCount", "channel", "status", us("requestedAt", "requested_us")
     )
@@ -177,7 +179,7 @@ from parts where customer_id = 'CUS0000000042' and year_month between '202401' a
 
 
 def find_send_in_docs(spark: SparkSession, sf: str) -> DataFrame:
-    found = documents.find_send_in_docs(_docs(spark, sf), _one_tx(spark, sf))
+    found = lookups.documents_with(spark, message_store(spark, sf), _one_tx(spark, sf), ZONE)
     return documents.sends_of(found).select(
         "customer_id", "year_month", "txId", "retryCount", "status"
     )

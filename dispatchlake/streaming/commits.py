@@ -113,9 +113,10 @@ class Commits:
         above: int | None = None,
         upto: int | None = None,
         segments: list[dict] | None = None,
+        points: list[int] | None = None,
     ) -> DataFrame:
-        """Committed rows. With an index, `above` < index <= `upto` prunes by file;
-        rows outside that range may still be among them.
+        """Committed rows. With an index, `above` < index <= `upto` and `points` (single
+        values) prune by file; other rows may still be among them.
 
         The schema is the stored one, so an empty table has its columns; `schema`
         serves a table that no batch has written to.
@@ -133,6 +134,7 @@ class Commits:
                 f"{self.path}/{segment['path']}/{name}"
                 for name, low, high in segment["files"]
                 if (above is None or high > above) and (upto is None or low <= upto)
+                and (points is None or any(low <= p <= high for p in points))
             ]
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -177,10 +179,10 @@ class Batch:
         spark, path = self.commits.spark, f"{table}/segment={self.id:012d}-{uuid.uuid4().hex[:12]}"
         whole = f"{self.commits.path}/{path}"
         if layout.index:
-            # ranges of the index, so that a file covers little of it
-            laid_out = rows.repartitionByRange(layout.index).sortWithinPartitions(
-                layout.index, *layout.order
-            )
+            # ranges of the index, so that a file covers little of it; the order
+            # splits a value that many rows share
+            ranges = (layout.index, *layout.order)
+            laid_out = rows.repartitionByRange(*ranges).sortWithinPartitions(*ranges)
         else:
             laid_out = rows.hint("rebalance", *layout.by)
             if layout.order:
