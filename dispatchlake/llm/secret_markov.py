@@ -3,8 +3,10 @@
 DataFrame functions only. Two character bigram models, one of secrets and one of
 ordinary words and identifiers, are counted from labelled samples: strings that
 the patterns matched and uniformly random ones, against the words of sampled
-documents. A long token is a secret when its log-likelihood ratio says so, in
-total and per character.
+documents, their short tokens with digits, and identifiers put together from
+neighbouring words (names in camel, snake, kebab and upper case, paths, numbered
+and dated names). A long token is a secret when its log-likelihood ratio says so,
+in total and per character.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_CHARS = 12
 KINDS = ("assign", "access", "hex", "random")
 
+CANDIDATE_CHARS = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+WITH_DIGIT = r"[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]*"
 ORDINARY = r"[A-Za-z][A-Za-z_-]{3,}"
 SAMPLE_DOCS = 2_000
 RANDOM_PAIRS = 20_000
 TOTAL_RATIO = 10.0
-MEAN_RATIO = 0.6
+SHARE = 0.5
 
 
 def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -39,6 +43,9 @@ def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     Gaps between matches come from `split`, matches from `regexp_extract_all`;
     their lengths in code points add up to the places. `keep` may refuse a match
     by its second group; refused ones still use up their characters.
+
+    The sum runs inside blocks of about the root of the number of matches and is
+    then carried over the blocks, since adding to an array copies it.
     """
     regex = F.lit(pattern)
     matches = F.regexp_extract_all(text, regex, F.lit(0))
@@ -59,7 +66,34 @@ def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
         return F.struct(end.alias("pos"), found.alias("found"))
 
     start = F.struct(F.lit(0).alias("pos"), empty.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["found"]).otherwise(empty)
+
+    def in_blocks(p: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(p))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(p), size)
+        return F.transform(firsts, lambda first: F.aggregate(F.slice(p, first, size), start, step))
+
+    def add(acc: Column, b: Column) -> Column:
+        return F.array_append(acc, F.element_at(acc, -1) + b["pos"])
+
+    def carried(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), add)
+        moved = F.zip_with(blocks, before, lambda b, n: F.transform(b["found"], lambda s: _moved(s, n)))
+        return F.flatten(F.filter(moved, lambda m: m.isNotNull()))
+
+    found = _bound(_bound(parts, in_blocks), carried)
+    return F.when(text.rlike(pattern), found).otherwise(empty)
+
+
+def _bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, though `use` names it in lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _moved(s: Column, by: Column) -> Column:
+    return F.struct(
+        (s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"),
+        s["value"].alias("value"),
+    )
 
 
 def base_spans(text: Column) -> Column:
@@ -84,6 +118,39 @@ def bigram_counts(strings: DataFrame) -> DataFrame:
     return long.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
+def identifiers(words: Column) -> Column:
+    """Names as programs and files have them, one from each word and the two after it.
+
+    The form and the numbers follow from a hash of the words, so reruns agree.
+    """
+
+    def made(ws: Column) -> Column:
+        def name(w: Column, i: Column) -> Column:
+            a, b, c = [F.lower(F.coalesce(x, F.lit("x"))) for x in (w, F.get(ws, i + 1), F.get(ws, i + 2))]
+            h = F.xxhash64(a, b, c)
+            small = F.pmod(h, F.lit(100)).cast("string")
+            year = (F.lit(1990) + F.pmod(F.shiftright(h, 8), F.lit(50))).cast("string")
+            month = F.lpad((F.lit(1) + F.pmod(F.shiftright(h, 16), F.lit(12))).cast("string"), 2, "0")
+            day = F.lpad((F.lit(1) + F.pmod(F.shiftright(h, 24), F.lit(28))).cast("string"), 2, "0")
+            forms = [
+                F.concat(a, F.initcap(b), F.initcap(c)),
+                F.concat(F.initcap(a), F.initcap(b), small),
+                F.concat_ws("_", a, b, c),
+                F.concat_ws("_", a, b, F.concat(F.lit("v"), small)),
+                F.upper(F.concat_ws("_", a, b, small)),
+                F.concat_ws("-", a, b, c),
+                F.concat_ws("/", F.lit(""), a, b, c),
+                F.concat_ws("/", a, year, month, F.concat(b, small)),
+                F.concat_ws("-", year, month, day, a, b),
+                F.concat(a, F.lit("_"), year, month, day, F.lit("_"), b),
+            ]
+            return F.element_at(F.array(*forms), (F.pmod(F.shiftright(h, 32), F.lit(len(forms))) + 1).cast("int"))
+
+        return F.transform(ws, name)
+
+    return _bound(words, made)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log ratios, secret to ordinary, for each pair of ASCII characters.
 
@@ -93,6 +160,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     smallest; the texts of the second sample are read by a join with its hashes
     (`sample_docs` numbers, broadcast), all copies of a chosen row among them. The
     driver gets at most 2 x 16384 counts.
+
+    Ordinary are the words, the `identifiers` made of them, and what has digits
+    outside the patterns' spans but is too short to be judged; longer tokens with
+    digits are not labelled and so not learnt from.
     """
     keyed = docs.select("text", F.xxhash64("text", "doc_id").alias("key"))
     labelled = (
@@ -104,16 +175,19 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
         .limit(sample_docs)
         .select(F.explode("values").alias("value"))
     )
-    words = F.regexp_extract_all(
-        F.regexp_replace("text", CANDIDATE.replace("{16,}", "*[0-9]+[A-Za-z0-9+/_=-]*"), " "),
-        F.lit(ORDINARY),
-        F.lit(0),
+    outside = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        outside = F.regexp_replace(outside, pattern, " ")
+    words = F.regexp_extract_all(F.regexp_replace(outside, WITH_DIGIT, " "), F.lit(ORDINARY), F.lit(0))
+    numbered = F.filter(
+        F.regexp_extract_all(outside, F.lit(WITH_DIGIT), F.lit(0)),
+        lambda t: F.length(t) < CANDIDATE_CHARS,
     )
     texts = keyed.where("text is not null")
     smallest = texts.select("key").orderBy("key").limit(sample_docs)
     ordinary = (
         texts.join(F.broadcast(smallest), "key", "left_semi")
-        .select(F.explode(words).alias("value"))
+        .select(F.explode(F.concat(words, identifiers(words), numbered)).alias("value"))
     )
     both = (
         bigram_counts(labelled)
@@ -172,6 +246,12 @@ def log_ratios(
     return out
 
 
+def random_gain(table: list[float]) -> float:
+    """Mean log ratio of a transition in uniformly random letters and digits."""
+    alnum = [ord(c) for c in string.ascii_letters + string.digits]
+    return sum(table[a * 128 + b] for a in alnum for b in alnum) / len(alnum) ** 2
+
+
 def character_kind(code: int) -> int:
     """0 small letter, 1 capital, 2 digit, 3 any other."""
     c = chr(code)
@@ -193,27 +273,30 @@ def find_secrets(
     docs: DataFrame,
     sample_docs: int = SAMPLE_DOCS,
     total_ratio: float = TOTAL_RATIO,
-    mean_ratio: float = MEAN_RATIO,
+    share: float = SHARE,
+    table: list[float] | None = None,
 ) -> DataFrame:
     """`docs` with `base` and `spans`: arrays of (start, kind, end, value).
 
+    A long token is a random string when its log ratio reaches `total_ratio`, and per
+    transition `share` of what uniformly random letters and digits reach on average.
+    `table` holds the ratios of an earlier `train`; without it `docs` are learnt from.
+
     Places are code points, end exclusive; `kind` indexes KINDS. `base` holds the
-    three patterns' spans, `spans` these and the random strings that touch none
-    of them, by start, then kind. Null and empty texts have none; all rows and
+    three patterns' spans, `spans` these and the random strings beside them, by
+    start, then kind; what a pattern leaves of a long token is judged by itself. Null and empty texts have none; all rows and
     columns of `docs` stay, repeated ones too, and an empty table stays empty.
     Columns named `base` or `spans` are replaced.
     """
-    table = train(docs, sample_docs)
+    table = table or train(docs, sample_docs)
+    mean_ratio = share * random_gain(table)
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
-    candidates = spans(text, CANDIDATE, 3)
+    candidates = spans(blanked(text, F.col("base")), CANDIDATE, 3)
 
     def random(s: Column) -> Column:
         ratio = log_ratio(s["value"], ratios)
-        free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & (
-            ratio >= F.greatest(F.lit(total_ratio), F.length(s["value"]) * F.lit(mean_ratio))
-        )
+        return ratio >= F.greatest(F.lit(total_ratio), (F.length(s["value"]) - 1) * F.lit(mean_ratio))
 
     found = docs.withColumn("base", base_spans(text))
     return found.withColumn(
@@ -249,24 +332,52 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def pieces(text: Column, found: Column, mark) -> Column:
+    """`text` with each span replaced by `mark(n, joined)`.
+
+    Spans come by start. `n` is the number of characters that no earlier span
+    covers, `joined` tells that the span begins inside an earlier one. The furthest
+    end so far is carried like the places in `spans`.
+    """
+
+    def ends(sp: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(sp))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(sp), size)
+        tops = F.transform(firsts, lambda f: F.array_max(F.transform(F.slice(sp, f, size), lambda s: s["end"])))
+        top = lambda acc, t: F.array_append(acc, F.greatest(F.element_at(acc, -1), t))
+
+        def block(first: Column, before: Column) -> Column:
+            # without the last: the end before each span of the block
+            inside = F.slice(sp, first, F.least(size, F.size(sp) - first + 1))
+            return F.slice(
+                F.aggregate(inside, F.array(before), lambda a, s: top(a, s["end"])), F.lit(1), F.size(inside)
+            )
+
+        starts = F.aggregate(tops, F.array(F.lit(0)), top)
+        whole = F.zip_with(firsts, F.slice(starts, F.lit(1), F.size(firsts)), block)
+        return F.arrays_zip(sp.alias("s"), F.flatten(whole).alias("before"))
+
+    def piece(x: Column) -> Column:
+        start, end, before = x["s"]["start"], x["s"]["end"], x["before"]
+        gap = F.substring(text, before + 1, F.greatest(start - before, F.lit(0)))
+        n = F.greatest(end - F.greatest(start, before), F.lit(0))
+        return F.concat(gap, mark(n, start < before))
+
+    last = F.array_max(F.transform(found, lambda s: s["end"]))
+    done = F.array_join(F.transform(_bound(found, ends), piece), "")
+    whole = F.concat(done, F.substring(text, last + 1, F.length(text) - last))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
+
+
+def blanked(text: Column, found: Column) -> Column:
+    """`text` with blanks in place of its spans, so that all places stay."""
+    return pieces(text, found, lambda n, joined: F.repeat(F.lit(" "), n))
+
+
 def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`find_secrets` output with every span of the text replaced by `mark`.
 
     Overlapping spans are replaced as one. Texts without spans stay as they are.
     """
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"])
-        parts = (
-            F.when(s["start"] >= acc["pos"], F.concat(acc["parts"], F.array(gap, F.lit(mark))))
-            .otherwise(acc["parts"])
-        )
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), parts.alias("parts"))
-
-    rest = lambda acc: F.concat(
-        F.array_join(acc["parts"], ""),
-        F.substring(F.col("text"), acc["pos"] + 1, F.length("text") - acc["pos"]),
-    )
-    cut = F.aggregate("spans", empty, step, rest)
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
+    once = lambda n, joined: F.when(joined, "").otherwise(mark)
+    return found.withColumn("text", pieces(F.col("text"), F.col("spans"), once))
