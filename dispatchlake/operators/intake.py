@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dispatchlake import schemas
 from dispatchlake.codes import CHANNELS, FEEDS, SENDER_SEED, SOURCES, STATUSES, retention_table
 from dispatchlake.functions import txid
-from dispatchlake.functions.times import due_at
+from dispatchlake.functions.times import DAY, SECOND, due_at
 
 CORRUPT = "_corrupt"
 # marks bodies over the size limit, which go to the error path whole
@@ -82,14 +82,36 @@ def load_codes(spark: SparkSession, existing: DataFrame) -> DataFrame:
     return seed.join(existing.select("sender_code").distinct(), "sender_code", "left_anti")
 
 
+# milliseconds of a send are a 32-bit number, and time zones add less than a day
+LONGEST_SEND_DAYS = 26
+
+
 def replay(
-    feed: DataFrame, history: DataFrame, start: Column, end: Column, at: str = "delivered_at"
+    feed: DataFrame,
+    history: DataFrame,
+    start: Column,
+    end: Column,
+    at: str = "delivered_at",
+    slack_us: int | None = DAY,
 ) -> DataFrame:
     """Results of [start, end) that history lacks, one row per attempt.
 
     A result with a bad id is lacking unless history has an equal one of that id
     and count; distinct ones all stay.
+
+    Of the history only the window and `slack_us` on both sides are read: copies of
+    an attempt carry its delivery time, give or take that much (None: read all). A
+    stored history (`sinks.append_history`) is pruned by its `day` of dispatch too,
+    which lies at most `LONGEST_SEND_DAYS` before.
     """
+    if slack_us is not None:
+        slack = F.make_dt_interval(secs=F.lit(slack_us / SECOND))
+        first, last = start - slack, end + slack
+        if "day" in history.columns:
+            earliest = F.date_sub(F.to_date(first), LONGEST_SEND_DAYS)
+            near = F.col("day").between(earliest, F.to_date(last))
+            history = history.where(F.col("day").isNull() | near)
+        history = history.where(F.col(at).isNull() | ((F.col(at) >= first) & (F.col(at) < last)))
     window = feed.where((F.col(at) >= start) & (F.col(at) < end))
     once = txid.once_per_attempt(window)
     return once.join(

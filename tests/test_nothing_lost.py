@@ -33,6 +33,23 @@ def test_distinct_bad_id_results_all_stay(bad_results):
     assert chained.count() == distinct and chained.where("previous_code is not null").count() == 0
 
 
+def test_replay_reads_the_window_of_a_stored_history(spark, sf, tmp_path):
+    """Only days that can hold the window are opened; the rows are those of the whole history."""
+    res = results(spark, sf)
+    n = F.pmod(F.xxhash64("tx_id", "retry_count"), F.lit(3))
+    sinks.append_history(res.where(n > 0), str(tmp_path / "history"))
+    stored = spark.read.parquet(str(tmp_path / "history"))
+    start, end = [F.lit(d).cast("timestamp") for d in ("2024-01-20", "2024-01-21")]
+    some = intake.replay(res, stored, start, end)
+    every = intake.replay(res, stored, start, end, slack_us=None)
+    cols = ["tx_id", "retry_count", "result_code"]
+    assert sorted(some.select(*cols).collect()) == sorted(every.select(*cols).collect())
+    assert some.count() == res.where((n == 0) & (F.col("delivered_at") >= start) & (F.col("delivered_at") < end)).count()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    filters = [line.split("PartitionFilters: ")[1].split("]")[0] for line in plan.splitlines() if "PartitionFilters: " in line]
+    assert any("day#" in f for f in filters) and some.count() > 0
+
+
 def test_replay_keeps_bad_ids(bad_results):
     always = F.lit("2000-01-01").cast("timestamp"), F.lit("2100-01-01").cast("timestamp")
     found = intake.replay(bad_results, bad_results.limit(0), *always)
