@@ -3,13 +3,17 @@
 Only the number of pieces of each length matters to a packing, and there are at
 most `capacity` lengths. So the driver plans on that histogram, whatever the
 size of the corpus: a pattern is one filling of a sequence with the number of
-times it is used. Pieces then take their slots by their rank within their
-length, which tasks work out from per-task counts.
+times it is used. A step of the search uses a filling for half of what its
+lengths allow, so steps grow with the logarithm of the corpus. Pieces then take
+their slots by their rank within their length, which tasks work out from
+per-task counts.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,61 +30,84 @@ from dispatchlake.session import stage
 CAPACITY = 2048
 END_ID = 0
 
+log = logging.getLogger(__name__)
+
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
-def fillings(counts: np.ndarray, capacity: int, nodes: int, keep: int) -> list[Filling]:
-    """Undominated fillings of one bin around the largest remaining length.
+def sums_below(counts: np.ndarray, room: int) -> tuple[list[int], list[int], list[int]]:
+    """Lengths up to `room`, how many of each can be used, and for every prefix of
+    these lengths the sums up to `room` that it can make, as the bits of an integer."""
+    lengths = np.nonzero(counts[: room + 1])[0].tolist()
+    times = [min(int(counts[x]), room // x) for x in lengths]
+    mask, sums = (2 << room) - 1, [1]
+    for length, most in zip(lengths, times, strict=True):
+        bits, have = sums[-1], 0
+        while have < most:
+            more = min(have + 1, most - have)
+            bits |= bits << (length * more)
+            have += more
+        sums.append(bits & mask)
+    return lengths, times, sums
+
+
+def dominated(chosen: Filling, left: np.ndarray, waste: int) -> bool:
+    """Whether a remaining piece could replace some chosen ones and fill at least as much.
 
-    Depth first, larger lengths first. A filling is dominated when a remaining
-    piece still fits beside it; a branch is cut when even filling it up could
-    not beat the `keep` best wastes so far. Best waste first; equal wastes keep
-    their order, so that larger pieces go first. `nodes` bounds the search.
+    The pieces that it replaces fit where it would have been, so a packing with
+    the other filling is no larger.
+    """
+    single, several, used = 0, 0, dict(chosen)
+    for length, times in chosen:
+        for _ in range(times):
+            several |= (several | single) << length
+            single |= 1 << length
+    rest = 0
+    for length in np.nonzero(left)[0].tolist():
+        if left[length] > used.get(length, 0):
+            rest |= 1 << length
+    if rest & ((2 << waste) - 1) or several & rest:
+        return True
+    reach = single | several
+    return any((reach << more) & rest for more in range(1, waste + 1))
+
+
+def fillings(
+    counts: np.ndarray, capacity: int, most_waste: int
+) -> Iterator[tuple[Filling, int, bool]]:
+    """Fillings of one bin around the largest remaining length, their waste, if dominated.
+
+    Least waste first, up to `most_waste`; of equal wastes the one with the larger
+    pieces first. Sums that the smaller lengths can make guide the enumeration, so
+    that each branch ends in a filling; the next one is looked for when asked for.
     """
     largest = int(np.nonzero(counts)[0][-1])
     left = counts.copy()
     left[largest] -= 1
-    fits = np.nonzero(left[: capacity + 1])[0]
-    best: list[tuple[int, int, Filling]] = []
-    seen = 0
-
-    def note(room: int, chosen: list[int]) -> None:
-        lengths, times = np.unique([largest, *chosen], return_counts=True)
-        pairs = zip(lengths[::-1].tolist(), times[::-1].tolist(), strict=True)
-        best.append((room, len(best), tuple(pairs)))
-        best.sort()
-        del best[keep:]
-
-    def walk(room: int, below: int, chosen: list[int]) -> bool:
-        """Try lengths up to `below`; true when a perfect filling ends the search."""
-        nonlocal seen
-        at = int(np.searchsorted(fits, min(room, below), side="right")) - 1
-        added = False
-        while at >= 0:
-            length = int(fits[at])
-            at -= 1
-            if left[length] <= 0:
-                continue
-            seen += 1
-            if seen > nodes and best:
-                return True
-            added = True
-            left[length] -= 1
-            chosen.append(length)
-            done = walk(room - length, length, chosen)
-            chosen.pop()
-            left[length] += 1
-            if done or (best and best[0][0] == 0 and len(best) >= keep):
-                return True
-        if not added and (len(best) < keep or room < best[-1][0]):
-            smaller = fits[: int(np.searchsorted(fits, room, side="right"))]
-            if not len(smaller) or not (left[smaller] > 0).any():
-                note(room, chosen)
-                return room == 0 and keep == 1
-        return False
-
-    walk(capacity - largest, capacity, [])
-    return [f for _, _, f in best] or [((largest, 1),)]
+    room = capacity - largest
+    lengths, times, sums = sums_below(left, room)
+
+    def walk(upto: int, target: int) -> Iterator[Filling]:
+        if not target:
+            yield ()
+            return
+        k = min(upto, bisect_right(lengths, target))
+        while k and sums[k] >> target & 1:
+            k -= 1
+            for n in range(min(times[k], target // lengths[k]), 0, -1):
+                rest = target - n * lengths[k]
+                if sums[k] >> rest & 1:
+                    for tail in walk(k, rest):
+                        yield ((lengths[k], n), *tail)
+
+    for waste in range(min(room, most_waste) + 1):
+        if sums[-1] >> (room - waste) & 1:
+            for chosen in walk(len(lengths), room - waste):
+                worse = dominated(chosen, left, waste)
+                if chosen and chosen[0][0] == largest:
+                    yield ((largest, chosen[0][1] + 1), *chosen[1:]), waste, worse
+                else:
+                    yield ((largest, 1), *chosen), waste, worse
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
@@ -116,62 +143,137 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
     return list(open_bins.items())
 
 
-def plan_bins(
-    histogram: dict[int, int],
-    capacity: int = CAPACITY,
-    nodes: int = 300,
-    branches: int = 3,
-    steps: int = 4000,
-) -> list[tuple[Filling, int]]:
-    """Patterns and how often each is used, for pieces of the given lengths.
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """No packing uses fewer bins: what the tokens fill, and what pieces over half a bin need.
 
-    Best-fit decreasing is the first incumbent. The search completes one bin at
-    a time around the largest remaining length, repeats a filling as long as the
-    counts allow, and gives a branch up when its waste leaves no way to use fewer
-    bins than the incumbent. It ends at the lower bound ceil(total / capacity),
-    or after `steps` bins tried; the incumbent is then the answer.
+    Pieces over half a bin lie in bins of their own, and the room beside one stays
+    empty but for the largest sum that other pieces can make there. For each
+    `small`, pieces longer than `capacity - small` share with none of at least
+    `small`, and the rest of those has to fit beside other pieces or in new bins.
     """
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] += n
+    lengths = np.arange(capacity + 1)
+    number, tokens = np.cumsum(counts), np.cumsum(counts * lengths)
+    half, empty = capacity // 2, 0
+    sums = sums_below(counts, capacity - half - 1)[2][-1]
+    for length in (np.nonzero(counts[half + 1 :])[0] + half + 1).tolist():
+        room = capacity - length
+        empty += int(counts[length]) * (room + 1 - (sums & ((2 << room) - 1)).bit_length())
+    best = -(-(int(tokens[-1]) + empty) // capacity)
+    for small in range(1, half + 1):
+        alone = int(number[-1] - number[capacity - small])
+        big = int(number[capacity - small] - number[half])
+        middle = int(tokens[capacity - small] - tokens[small - 1])
+        best = max(best, alone + max(big, -(-middle // capacity)))
+    return best
+
+
+Plan = list[tuple[Filling, int]]
+
+
+def bins_of(plan: Plan) -> int:
+    return sum(n for _, n in plan)
+
+
+def complete(counts: np.ndarray, capacity: int, most: int, lower: int, patience: int) -> Plan | None:
+    """Branch and bound: the smallest plan found with at most `most` bins, else None.
+
+    Completes a bin at a time around the largest remaining length and uses the
+    filling half as often as the counts allow, so that later bins have a choice;
+    coming back, ever fewer times, down to once, then takes the next filling. A
+    branch ends when its waste is more than `most` bins leave. The search ends at
+    `lower`, when all is tried, or when `patience` fillings were tried or found
+    dominated since the last better plan.
+    """
+    counts = counts.copy()
     total = int((counts * np.arange(capacity + 1)).sum())
-    if not total:
-        return []
-    lower = -(-total // capacity)
-    incumbent = best_fit(counts, capacity)
-    bins = sum(n for _, n in incumbent)
-    path: list[tuple[Filling, int]] = []
-    waste, used, tried = 0, 0, 0
-    stack = [iter(fillings(counts, capacity, nodes, branches))]
-    while stack and bins > lower and tried < steps:
-        filling = next(stack[-1], None)
-        if filling is None:
+    found: Plan | None = None
+    path: Plan = []
+    waste, idle = 0, 0
+
+    def choices() -> Iterator[tuple[Filling, int, int]]:
+        nonlocal idle
+        spare = most * capacity - total - waste
+        for filling, room, worse in fillings(counts, capacity, spare):
+            n = int(min(counts[x] // k for x, k in filling))
+            n = min(n, spare // room) if room else n
+            n = 0 if worse else n
+            idle += not n
+            while n and idle < patience:
+                n = (n + 1) // 2 if n > 1 else n
+                yield filling, n, room * n
+                n //= 2
+                idle += 1
+            if idle >= patience:
+                return
+
+    stack = [choices()]
+    while stack and most >= lower and idle < patience:
+        filling, n, room = next(stack[-1], ((), 0, 0))
+        if not n:
             stack.pop()
             if path:
-                old, n = path.pop()
-                for length, k in old:
+                filling, n = path.pop()
+                waste -= n * (capacity - sum(x * k for x, k in filling))
+                for length, k in filling:
                     counts[length] += k * n
-                used -= n
-                waste -= n * (capacity - sum(x * k for x, k in old))
             continue
-        tried += 1
-        n = int(min(counts[length] // k for length, k in filling))
-        room = capacity - sum(x * k for x, k in filling)
-        # with fewer bins than the incumbent, this much waste is all there may be
-        if waste + n * room > (bins - 1) * capacity - total:
-            n = 1
-            if waste + room > (bins - 1) * capacity - total:
-                continue
+        if waste + room > most * capacity - total:  # `most` fell since
+            continue
+        waste += room
+        path.append((filling, n))
         for length, k in filling:
             counts[length] -= k * n
-        path.append((filling, n))
-        waste, used = waste + n * room, used + n
-        if not counts.any():
-            incumbent, bins = list(path), used
-            stack.append(iter(()))
+        if counts.any():
+            stack.append(choices())
         else:
-            stack.append(iter(fillings(counts, capacity, nodes, branches)))
-    return incumbent
+            found, idle = list(path), 0
+            most = bins_of(found) - 1
+            stack.append(iter(()))
+    return found
+
+
+def plan_bins(
+    histogram: dict[int, int], capacity: int = CAPACITY, patience: int | None = None, rounds: int = 12
+) -> Plan:
+    """Patterns and how often each is used, for pieces of the given lengths.
+
+    Best-fit decreasing is the first incumbent, and the answer where it meets
+    `lower_bound`. Else `complete` looks for fewer bins over all pieces, and then,
+    `rounds` times, over the worst bins of the incumbent with a share of the full
+    ones beside them, a larger share each time. `patience`, by default 1 000
+    fillings and two per distinct length, is how long a search goes on without a better
+    plan: the gap to the bound ends the work, or that.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] += n
+    if not counts.any():
+        return []
+    lower = lower_bound(counts, capacity)
+    plan = best_fit(counts, capacity)
+    first = bins_of(plan)
+    patience = patience or 1000 + 2 * int((counts > 0).sum())
+    if first > lower:
+        plan = complete(counts, capacity, first - 1, lower, patience) or plan
+    rng = np.random.default_rng(0)
+    for k in range(rounds):
+        if bins_of(plan) <= lower:
+            break
+        rooms = [capacity - sum(x * t for x, t in f) for f, _ in plan]
+        # bins with room are all opened again, of each full pattern a random part
+        share = rng.random(len(plan)) * (k + 1) / rounds
+        opened = [n if r else int(n * s) for (_, n), r, s in zip(plan, rooms, share, strict=True)]
+        part = np.zeros_like(counts)
+        for (filling, _), n in zip(plan, opened, strict=True):
+            for length, times in filling:
+                part[length] += times * n
+        least = lower_bound(part, capacity)
+        better = complete(part, capacity, sum(opened) - 1, least, patience)
+        if better:
+            rest = [(f, n - m) for (f, n), m in zip(plan, opened, strict=True) if n > m]
+            plan = rest + better
+    log.info("bins: at least %d, best fit %d, plan %d", lower, first, bins_of(plan))
+    return plan
 
 
 class Slots:
