@@ -29,6 +29,7 @@ from dispatchlake.session import stage
 
 CAPACITY = 2048
 END_ID = 0
+OPEN_LEVELS = 64  # of a search path, with half a megabyte of sums each
 
 log = logging.getLogger(__name__)
 
@@ -190,32 +191,42 @@ def complete(counts: np.ndarray, capacity: int, most: int, lower: int, patience:
     path: Plan = []
     waste, idle = 0, 0
 
-    def choices() -> Iterator[tuple[Filling, int, int]]:
+    def choices(after: tuple[Filling, int] | None = None) -> Iterator[tuple[Filling, int, int]]:
+        """What to try at this point of the path, from behind `after` on."""
         nonlocal idle
         spare = most * capacity - total - waste
         for filling, room, worse in fillings(counts, capacity, spare):
-            n = int(min(counts[x] // k for x, k in filling))
-            n = min(n, spare // room) if room else n
-            n = 0 if worse else n
-            idle += not n
+            if after and filling != after[0]:
+                continue
+            if after:
+                n, after = after[1] // 2, None
+            else:
+                n = int(min(counts[x] // k for x, k in filling))
+                n = min(n, spare // room) if room else n
+                n = 0 if worse else n
+                idle += not n
             while n and idle < patience:
-                n = (n + 1) // 2 if n > 1 else n
+                n = (n + 1) // 2
                 yield filling, n, room * n
                 n //= 2
                 idle += 1
             if idle >= patience:
                 return
 
-    stack = [choices()]
-    while stack and most >= lower and idle < patience:
-        filling, n, room = next(stack[-1], ((), 0, 0))
+    levels: list[Iterator[tuple[Filling, int, int]] | None] = [choices()]
+    last: tuple[Filling, int] | None = None
+    while levels and most >= lower and idle < patience:
+        level = levels[-1]
+        if level is None:
+            level = levels[-1] = choices(last)
+        filling, n, room = next(level, ((), 0, 0))
         if not n:
-            stack.pop()
+            levels.pop()
             if path:
-                filling, n = path.pop()
-                waste -= n * (capacity - sum(x * k for x, k in filling))
-                for length, k in filling:
-                    counts[length] += k * n
+                last = path.pop()
+                waste -= last[1] * (capacity - sum(x * k for x, k in last[0]))
+                for length, k in last[0]:
+                    counts[length] += k * last[1]
             continue
         if waste + room > most * capacity - total:  # `most` fell since
             continue
@@ -224,11 +235,13 @@ def complete(counts: np.ndarray, capacity: int, most: int, lower: int, patience:
         for length, k in filling:
             counts[length] -= k * n
         if counts.any():
-            stack.append(choices())
+            levels.append(choices())
+            if len(levels) > OPEN_LEVELS:  # its sums are made again if the search comes back
+                levels[-OPEN_LEVELS - 1] = None
         else:
             found, idle = list(path), 0
             most = bins_of(found) - 1
-            stack.append(iter(()))
+            levels.append(iter(()))
     return found
 
 

@@ -123,6 +123,14 @@ def test_search_beats_best_fit():
     assert bin_completion.lower_bound(np.bincount([70] * 10 + [28], minlength=101), 100) == 10
 
 
+def test_plan_does_not_depend_on_open_levels(monkeypatch):
+    rng = random.Random(2)
+    pieces = {rng.randint(20, 400): rng.randint(1, 9) for _ in range(120)}
+    want = bin_completion.plan_bins(pieces, 512)
+    monkeypatch.setattr(bin_completion, "OPEN_LEVELS", 2)
+    assert bin_completion.plan_bins(pieces, 512) == want
+
+
 def test_bound_never_exceeds_the_optimum():
     rng = random.Random(8)
     for _ in range(60):
