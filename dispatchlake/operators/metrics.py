@@ -68,31 +68,10 @@ def metric_columns() -> list[Column]:
 def minute_metrics(res: DataFrame) -> DataFrame:
     """Per delivered minute, channel and method: counts, mean and p95 latency.
 
-    The exact percentile keeps one counter per distinct latency and is partly
-    aggregated before the shuffle, so a hot minute never gathers its rows.
+    Rows are first counted per latency, partly before the shuffle, so a hot minute
+    never gathers its rows.
     """
-    keys = ["metric_time", "channel", "send_method_code"]
-    rows = res.select(
-        bucket_start(F.col("delivered_at"), MINUTE).alias("metric_time"),
-        "channel",
-        txid.method_code(F.col("tx_id")).alias("send_method_code"),
-        "tx_id",
-        "result_code",
-        "retry_count",
-        "elapsed_ms",
-    )
-    return (
-        rows.groupBy(*keys)
-        .agg(*metric_columns(), F.percentile("elapsed_ms", 0.95).alias("_p95"))
-        .withColumns(
-            {
-                "avg_latency_ms": F.round("_avg").cast("int"),
-                "p95_latency_ms": F.round("_p95").cast("int"),
-                "p95_exact": F.round("_p95", 3),
-            }
-        )
-        .drop("_avg", "_p95")
-    )
+    return merged_minute_metrics(latency_counts(res))
 
 
 METRIC_KEYS = ["metric_time", "channel", "send_method_code"]
@@ -118,10 +97,26 @@ def merged_minute_metrics(parts: DataFrame) -> DataFrame:
     names = ["total_count", "success_count", "fail_count", "retry_count", "dlq_count"]
     known = F.when(F.col("elapsed_ms").isNotNull(), F.col("total_count"))
     mean = F.sum(F.col("elapsed_ms") * known) / F.sum(known)
-    p95 = F.percentile("elapsed_ms", 0.95, F.col("total_count"))
+    minute = Window.partitionBy(*METRIC_KEYS)
+    upto = minute.orderBy("elapsed_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parts.withColumns(
+        {"_place": (F.sum(known).over(minute) - 1) * F.lit(0.95), "_upto": F.sum(known).over(upto)}
+    )
+
+    def at(place: Column) -> Column:
+        """The latency at a place of the minute's order."""
+        return F.min(F.when(F.col("_upto") > place, F.col("elapsed_ms"))).cast("double")
+
     return (
-        parts.groupBy(*METRIC_KEYS)
-        .agg(*[F.sum(n).alias(n) for n in names], mean.alias("_avg"), p95.alias("_p95"))
+        placed.groupBy(*METRIC_KEYS)
+        .agg(
+            *[F.sum(n).alias(n) for n in names],
+            mean.alias("_avg"),
+            at(F.floor("_place")).alias("_low"),
+            at(F.ceil("_place")).alias("_high"),
+            F.first("_place").alias("_place"),
+        )
+        .withColumn("_p95", between("_low", "_high", F.col("_place") - F.floor("_place")))
         .withColumns(
             {
                 "avg_latency_ms": F.round("_avg").cast("int"),
@@ -129,10 +124,20 @@ def merged_minute_metrics(parts: DataFrame) -> DataFrame:
                 "p95_exact": F.round("_p95", 3),
             }
         )
-        .drop("_avg", "_p95")
+        .drop("_avg", "_low", "_high", "_place", "_p95")
     )
 
 
+def between(low: str, high: str, share: Column) -> Column:
+    """The point at `share` of the way from `low` to `high`; null without values.
+
+    The sum is rounded once, as `quantile_cont` of the comparison SQL does: a value
+    that lies on a half then rounds to the same whole number.
+    """
+    fma = [F.lit("java.lang.Math"), F.lit("fma"), F.col(low), 1 - share, F.col(high) * share]
+    return F.when(F.col(low).isNotNull(), F.java_method(*fma).cast("double"))
+
+
 def success_rate(res: DataFrame, width_us: int = HOUR, at: str = "delivered_at") -> DataFrame:
     """Delivered share of all attempts per channel and time bucket."""
     return (

@@ -1,12 +1,16 @@
 """The whole jobs as streams: all tables of a batch or none, rows equal to the batch plans."""
 
 import json
+import random
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from dispatchlake.codes import DLQ_FEED, REQUEST_FEED, RESULT_FEED, RETRY_FEED
 from dispatchlake.functions.times import due_at
+from dispatchlake.operators import metrics
 from dispatchlake.operators.joins import resolve_customer
 from dispatchlake.plans.dispatch import dispatch_requests, screen_requests
 from dispatchlake.plans.settle import settle_results
@@ -174,3 +178,30 @@ def test_segments_merge_by_levels(spark, place):
     assert got.columns == ["v", "k"]
     assert rows_of(got) == rows_of(spark.createDataFrame([(n, n % 2) for n in range(20)], "v long, k long"))
     assert commits.stored(spark, place("nothing"), "rows", got.schema).count() == 0
+
+
+def test_p95_on_a_half_rounds_as_the_sql_does(spark):
+    """Latencies whose 95th percentile often lies on a half, in one and in several parts."""
+    chosen = random.Random(3)
+    rows = [
+        (datetime(2024, 1, 1) + timedelta(minutes=m), chosen.choice([None, *range(0, 1000)]))
+        for m in range(1500)
+        for _ in range(chosen.choice([1, 2, 3, 7, 9, 11]))
+    ]
+    res = spark.createDataFrame(rows, "delivered_at timestamp, elapsed_ms int").withColumns(
+        {
+            "channel": F.lit("FAX"),
+            "tx_id": F.lit("1704067200000" + "04" + "0" * 20),
+            "result_code": F.lit("10000"),
+            "retry_count": F.lit(0),
+        }
+    )
+    con = duckdb.connect()
+    con.execute("create table t (minute timestamp, ms int)")
+    con.executemany("insert into t values (?, ?)", rows)
+    want = dict(con.sql("select epoch_us(minute), cast(round(quantile_cont(ms, 0.95)) as int) from t group by 1").fetchall())
+    halves = metrics.latency_counts(res.where("elapsed_ms % 2 = 0 or elapsed_ms is null"))
+    halves = halves.unionByName(metrics.latency_counts(res.where("elapsed_ms % 2 = 1")))
+    for got in (metrics.minute_metrics(res), metrics.merged_minute_metrics(halves)):
+        got = got.select(F.unix_micros("metric_time"), "p95_latency_ms")
+        assert {r[0]: r[1] for r in got.collect()} == want
