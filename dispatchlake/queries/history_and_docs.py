@@ -52,7 +52,7 @@ def _one_tx(spark: SparkSession, sf: str) -> str:
 
 
 def history_by_tx(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lookups.by_tx(spark, message_store(spark, sf), _one_tx(spark, sf))
+    rows = lookups.by_tx(spark, message_store(spark, sf, "by_tx"), _one_tx(spark, sf))
     return rows.select(
         "tx_id", "retry_count", "channel", "status", "result_code", us("dispatched_at"), us("delivered_at")
     )
@@ -63,7 +63,7 @@ select tx_id, retry_count::smallint as retry_count, channel, status, result_code
 
 
 def history_by_receiver(spark: SparkSession, sf: str) -> DataFrame:
-    return lookups.by_receiver(spark, message_store(spark, sf), "01000000042", 20).select(
+    return lookups.by_receiver(spark, message_store(spark, sf, "by_receiver"), "01000000042", 20).select(
         "tx_id", "retry_count", "channel", "status", us("requested_at")
     )
 
@@ -74,7 +74,7 @@ order by requested_us desc, tx_id, retry_count desc limit 20""")
 
 
 def retry_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lookups.in_status(spark, message_store(spark, sf), "RETRYING", "FAX")
+    rows = lookups.in_status(spark, message_store(spark, sf, "by_status"), "RETRYING", "FAX")
     return rows.select("tx_id", "retry_count", "result_code", us("delivered_at"))
 
 
@@ -166,7 +166,7 @@ from parts group by customer_id, year_month, week, part""")
 
 
 def customer_history(spark: SparkSession, sf: str) -> DataFrame:
-    store = message_store(spark, sf)
+    store = message_store(spark, sf, "by_customer")
     rows = lookups.customer_history(spark, store, "CUS0000000042", "202401", "202402", ZONE)
     return rows.select(
         "customer_id", "year_month", "txId", "retryCount", "channel", "status", us("requestedAt", "requested_us")
@@ -179,7 +179,8 @@ from parts where customer_id = 'CUS0000000042' and year_month between '202401' a
 
 
 def find_send_in_docs(spark: SparkSession, sf: str) -> DataFrame:
-    found = lookups.documents_with(spark, message_store(spark, sf), _one_tx(spark, sf), ZONE)
+    store = message_store(spark, sf, "by_tx", "by_customer")
+    found = lookups.documents_with(spark, store, _one_tx(spark, sf), ZONE)
     return documents.sends_of(found).select(
         "customer_id", "year_month", "txId", "retryCount", "status"
     )

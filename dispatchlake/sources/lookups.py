@@ -46,6 +46,7 @@ TABLES = {
     "by_customer": Layout(index=KEY, order=("customer_id", "requested_at")),
     "by_status": Layout(by=("status", "channel"), order=("delivered_at",)),
 }
+KEY_COLUMNS = {"by_tx": "tx_id", "by_receiver": "receiver", "by_customer": "customer_id"}
 # documents looked up by file; with more customers the table is joined as a whole
 MANY_CUSTOMERS = 100
 
@@ -58,9 +59,12 @@ def _key_of(spark: SparkSession, value: str) -> int:
     return spark.range(1).select(_key(F.lit(value))).first()[0]
 
 
-def add_messages(hist: DataFrame, path: str, batch_id: int) -> bool:
-    """Add history rows (`history_rows`) to all layouts in one commit.
+def add_messages(
+    hist: DataFrame, path: str, batch_id: int, tables: tuple[str, ...] = tuple(TABLES)
+) -> bool:
+    """Add history rows (`history_rows`) to all layouts, or to some, in one commit.
 
+    The rows are read once per layout and are stored first if there are several.
     False if the batch is there already. Batch numbers grow; one writer at a time.
     """
     spark = hist.sparkSession
@@ -68,18 +72,23 @@ def add_messages(hist: DataFrame, path: str, batch_id: int) -> bool:
     if batch is None:
         return False
     with scratch_scope(spark):
-        rows = stage(txid.with_record(hist).withColumn(BATCH, F.lit(batch_id).cast("bigint")), "messages")
-        batch.append("by_tx", rows.withColumn(KEY, _key(F.col("tx_id"))))
-        listed = rows.select(*LISTED, BATCH, txid.RECORD)
-        batch.append("by_receiver", listed.withColumn(KEY, _key(F.col("receiver"))))
-        batch.append("by_customer", rows.withColumn(KEY, _key(F.col("customer_id"))))
-        batch.append("by_status", listed)
-        for name in TABLES:
+        rows = txid.with_record(hist).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        if len(tables) > 1:
+            rows = stage(rows, "messages")
+        for name in tables:
+            batch.append(name, _laid_out(rows, name))
             batch.merge(name)
     batch.commit()
     return True
 
 
+def _laid_out(rows: DataFrame, table: str) -> DataFrame:
+    """The columns of a layout."""
+    if table in ("by_receiver", "by_status"):
+        rows = rows.select(*LISTED, BATCH, txid.RECORD)
+    return rows.withColumn(KEY, _key(F.col(KEY_COLUMNS[table]))) if table in KEY_COLUMNS else rows
+
+
 def _newest(rows: DataFrame) -> DataFrame:
     """Of each attempt the row of the latest batch."""
     kept = [c for c in rows.columns if c not in ADDED]

@@ -5,6 +5,7 @@ from dispatchlake.operators.channels import ChannelSpec, cap_of, default_specs,
 from dispatchlake.operators.history import history_rows
 from dispatchlake.operators.metrics import latency_bin, latency_histogram
 from dispatchlake.operators.ratelimit import last_releases
+from dispatchlake.queries import base
 from dispatchlake.sources import lookups
 from dispatchlake.sources.workload import requests, results
 from dispatchlake.streaming.commits import Commits
@@ -109,3 +110,19 @@ def test_specs_give_caps_and_bounds(spark):
     none = sent.select("channel", "id", F.col("release_at").alias("at")).limit(0)
     kept = last_releases(sent, none, cap_of(F.col("channel"), specs), "at", "id", most=2)
     assert sorted((r.channel, r.id) for r in kept.collect()) == [("PUSH", "58"), ("PUSH", "59")]
+
+
+def test_message_store_loads_a_layout_when_a_query_needs_it(spark, sf):
+    base._stores.clear()
+    path = base.message_store(spark, sf, "by_status")
+    one = Commits(spark, path)
+    assert {t for t in lookups.TABLES if one.segments(t)} == {"by_status"}
+    assert base.message_store(spark, sf, "by_tx", "by_status") == path
+    both = Commits(spark, path)
+    assert {t for t in lookups.TABLES if both.segments(t)} == {"by_tx", "by_status"}
+    assert both.segments("by_status") == one.segments("by_status")  # not loaded again
+    rows = base.history(spark, sf)
+    assert lookups._newest(both.read("by_tx")).count() == rows.count()
+    got = lookups.in_status(spark, path, "RETRYING", "FAX")
+    cols = ["tx_id", "retry_count", "result_code", "delivered_at"]
+    assert rows_of(got, cols) == rows_of(history.retry_candidates(rows, "RETRYING", "FAX"), cols)
