@@ -16,6 +16,11 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # rows of repeated text are some ten times larger in memory than in a file or a
+    # shuffle: tasks of this size sort without spilling, also as tables grow
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
 

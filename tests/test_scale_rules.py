@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake import session
 from dispatchlake.operators import history, intake, joins, metrics
+from dispatchlake.session import configure
 from dispatchlake.sources.workload import requests, results
 
 
@@ -86,3 +87,15 @@ class FakeCluster:
 def test_cluster_without_shared_folder_is_refused():
     with pytest.raises(RuntimeError):
         session.shared_dir(FakeCluster())
+
+
+def test_a_task_reads_a_bounded_share_of_a_large_shuffle(spark):
+    """About 100 MB, by four cores: more tasks than cores, none above 16 MB by much."""
+    configure(spark)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "true")
+    try:
+        rows = spark.range(4_000_000).select("id", *[F.rand(i).alias(f"r{i}") for i in range(3)])
+        assert rows.repartition(F.col("id")).rdd.getNumPartitions() >= 6
+    finally:
+        spark.conf.set(merging, "false")
