@@ -198,10 +198,13 @@ def _held_by_week(
     """Run a hold job over weekly deliveries of `df`; `released_at` is null while a row waits."""
     spark = configure_streaming(df.sparkSession)
     feed, out, mark = (scratch_path(spark, f"{k}-{name}") for k in ("feed", "out", "checkpoint"))
-    for since, until in zip(["0001-01-01", *WEEKS], [*WEEKS, "9999-01-01"]):
-        week = (F.col(at) >= F.lit(since).cast("timestamp")) & (F.col(at) < F.lit(until).cast("timestamp"))
-        df.where(week).write.mode("append").parquet(feed)
-        job(spark.readStream.schema(df.schema).parquet(feed), out, mark, at).awaitTermination()
+    # derived and written once; each run finds the folders of one more week
+    begun = [(F.col(at) >= F.lit(since).cast("timestamp")).cast("int") for since in WEEKS]
+    week = F.coalesce(sum(begun[1:], begun[0]), F.lit(0))
+    df.withColumn("_week", week).write.partitionBy("_week").parquet(feed)
+    for last in range(len(WEEKS) + 1):
+        arrived = f"{feed}/_week=[0-{last}]"
+        job(spark.readStream.schema(df.schema).parquet(arrived), out, mark, at).awaitTermination()
     gone = hold.released(spark, out).drop("batch_id")
     waiting = hold.held(spark, out, columns(df).schema, due)
     return gone.unionByName(waiting.withColumn("released_at", F.lit(None).cast("timestamp")))

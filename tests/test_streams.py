@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dispatchlake.codes import CHANNELS
 from dispatchlake.operators import metrics, routing
 from dispatchlake.operators.ratelimit import rate_limit
+from dispatchlake.queries import streams_and_sinks
 from dispatchlake.session import configure_streaming
 from dispatchlake.sources import feeds, sinks
 from dispatchlake.sources.workload import requests, results
@@ -369,3 +370,18 @@ def test_broker_options():
     write = feeds.kafka_write_options("broker:9092")
     assert write["kafka.acks"] == "all" and write["kafka.enable.idempotence"] == "true"
     assert feeds.kafka_write_options("b", {"kafka.linger.ms": "9"})["kafka.linger.ms"] == "9"
+
+
+def test_weekly_feed_is_derived_once(spark, sf):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def counted(at):
+        seen.add(1)
+        return at
+
+    req = requests(spark, sf).where("event_id % 9 = 0").withColumn("requested_at", counted("requested_at"))
+    got = streams_and_sinks._held_by_week(req, "hold", "requested_at", "scheduled_at", runs.hold_stream)
+    n = got.count()
+    assert n == requests(spark, sf).where("event_id % 9 = 0").count()
+    assert seen.value == n
