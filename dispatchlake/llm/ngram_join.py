@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.llm import packed
-from dispatchlake.llm.common import byte_words, small_batches
-from dispatchlake.llm.window_dedup import window_hashes
+from dispatchlake.llm.common import small_batches
+from dispatchlake.llm.window_dedup import first_hashes
 from dispatchlake.session import stage
 
 WORDS = 3
@@ -44,8 +44,8 @@ SKETCH = 128
 
 
 def lower_words(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; other letters stay (`bytes.lower` is ASCII only)."""
-    return [w.lower() for w in byte_words(text)]
+    """`byte_words` with A-Z in lower case; other letters stay (`bytes.lower` is ASCII only)."""
+    return text.encode().lower().split() if isinstance(text, str) else []
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -53,8 +53,8 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     if len(words) < n:
-        return np.unique(window_hashes([*words, b"\x00 short"], len(words) + 1)[0])
-    return np.unique(window_hashes(words, n)[0])
+        return np.unique(first_hashes([*words, b"\x00 short"], len(words) + 1))
+    return np.unique(first_hashes(words, n))
 
 
 def shingle_set(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:

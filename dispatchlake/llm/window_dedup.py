@@ -53,16 +53,30 @@ def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray,
     H(i) = sum of w(i+j) * base^(window-1-j) modulo 2^64, evaluated by Horner's
     rule for all windows of a document at once.
     """
-    n = len(words) - window + 1
-    if n <= 0:
+    if len(words) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = []
-    for values, base in zip(word_hashes(words), BASES, strict=True):
-        total = np.zeros(n, np.uint64)
-        for j in range(window):
-            total = total * base + values[j : j + n]
-        out.append(total)
-    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64)
+    first, second = (
+        _rolled(values, base, window)
+        for values, base in zip(word_hashes(words), BASES, strict=True)
+    )
+    return first.view(np.int64), (second >> np.uint64(32)).astype(np.int64)
+
+
+def first_hashes(words: list[bytes], window: int) -> np.ndarray:
+    """The 64 bits of `window_hashes` alone."""
+    if len(words) < window:
+        return np.zeros(0, np.int64)
+    return _rolled(word_hashes(words)[0], BASES[0], window).view(np.int64)
+
+
+def _rolled(values: np.ndarray, base: np.uint64, window: int) -> np.ndarray:
+    values = np.ascontiguousarray(values)
+    n = len(values) - window + 1
+    total = values[:n].copy()
+    for j in range(1, window):
+        total *= base
+        total += values[j : j + n]
+    return total
 
 
 def _pack(

@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from dispatchlake.llm.common import byte_words
 from dispatchlake.llm import (
+    ngram_join,
     multiset_fingerprint,
     pivotal_mix,
     secret_markov,
@@ -341,3 +343,10 @@ def test_settling_keeps_words_and_expectation():
     up, down = x[0] - 0.3, 0.3 - y[0]
     chance = down / (up + down)
     assert abs(chance * x[0] + (1 - chance) * y[0] - 0.3) < 1e-9
+
+
+def test_first_hashes_are_those_of_the_windows():
+    words = ngram_join.lower_words("Ab C dÄ e\x1cf g AB c DÄ")
+    assert words == [w.lower() for w in byte_words("Ab C dÄ e\x1cf g AB c DÄ")]
+    for n in (1, 3, len(words), len(words) + 1):
+        assert window_dedup.first_hashes(words, n).tolist() == window_dedup.window_hashes(words, n)[0].tolist()
